@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuffstone.llm import homoglyphs, leakage, packing, survivors
+from tuffstone.llm import homoglyphs, leakage, licensing, packing, survivors
 from tuffstone.runtime import table
 
 
@@ -20,6 +20,14 @@ def p1_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.survivors(table(spark, sf, "components"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return licensing.licenses(table(spark, sf, "source_files"), table(spark, sf, "findings"), table(spark, sf, "components"))
+
+
+def p3_statements(spark: SparkSession, sf: str) -> DataFrame:
+    return licensing.statements(table(spark, sf, "source_files"))
+
+
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(table(spark, sf, "documents"))
 
@@ -49,7 +57,7 @@ def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [p1_found, p1_survivors, p6_containers, p6_fill_report, p7_found, p7_report, p7_clean_documents, p8_found, p8_classes]
+    named = [p1_found, p1_survivors, p3_found, p3_statements, p6_containers, p6_fill_report, p7_found, p7_report, p7_clean_documents, p8_found, p8_classes]
     return {f.__name__: f for f in named}
 
 
