@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuffstone.llm import homoglyphs, leakage, licensing, packing, survivors
+from tuffstone.llm import homoglyphs, leakage, licensing, linkage, packing, survivors
 from tuffstone.runtime import table
 
 
@@ -28,6 +28,14 @@ def p3_statements(spark: SparkSession, sf: str) -> DataFrame:
     return licensing.statements(table(spark, sf, "source_files"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_matches(spark, sf).select("comp_id", "vendor", "product")
+
+
+def p4_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.matches(table(spark, sf, "components"), table(spark, sf, "nvd_entries"))
+
+
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(table(spark, sf, "documents"))
 
@@ -57,7 +65,7 @@ def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [p1_found, p1_survivors, p3_found, p3_statements, p6_containers, p6_fill_report, p7_found, p7_report, p7_clean_documents, p8_found, p8_classes]
+    named = [p1_found, p1_survivors, p3_found, p3_statements, p4_found, p4_matches, p6_containers, p6_fill_report, p7_found, p7_report, p7_clean_documents, p8_found, p8_classes]
     return {f.__name__: f for f in named}
 
 
