@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tuffstone.plans import data_queries
+from tuffstone.plans import advisory_queries, data_queries
 
-MODULES = [data_queries]
+MODULES = [data_queries, advisory_queries]
 
 
 def queries() -> dict:
