@@ -184,7 +184,7 @@ ORACLE = {
     "glob_match": """select path, path like '%.c' as any_c, regexp_matches(path, '^[^/]*/[^/]*$') as one_deep, path like 'usr/lib/%' as under_lib, regexp_matches(path, '^[^/]{4,}$') as four
       from (select distinct path from (select path from source_files union all select origin_path from components) where path is not null)""",
     "path_rules": """with r("glob", category, type, rx) as (values ('**/*.lock', 'config', 'lock-file', '[.]lock$'), ('usr/**/*.so', 'config', 'shared-object', '^usr/(.*/)?[^/]*[.]so$'), ('**/*.pem', 'crypto', 'pem-file', '[.]pem$'),
-      ('**/*.key', 'crypto', 'key-file', '[.]key$'), ('**/shadow', 'credential-file', 'shadow-file', '(^|/)shadow$')) select "glob", category, type, count(*) as n from components, r where regexp_matches(origin_path, rx) group by all""",
+      ('**/*.key', 'crypto', 'key-file', '[.]key$'), ('**/shadow', 'credential-file', 'shadow-file', '(^|/)shadow$')) select r."glob" as "glob", r.category as category, r.type as type, count(*) as n from components, r where regexp_matches(origin_path, rx) group by all""",
     "redact_labels": "select case when length(evidence) <= 10 then left(evidence, 3) || '...' else left(evidence, 4) || '...' || right(evidence, 4) end as label, count(*) as n from findings where evidence is not null group by 1",
     "placeholder_filter": "select regexp_matches(lower(text), 'example|sample|changeme|placeholder|your_|yourkey|test_key|notreal|redacted|dummy|xxxxxx|aaaaaa|000000|<your|insert_') as placeholder, count(*) as n from documents where text is not null group by 1",
     "token_entropy": """select finding_id, round(-sum(p * log2(p)), 6) as entropy from (select finding_id, count(*) / max(length(label)) as p from (select finding_id, label, unnest(string_split(label, '')) as c from findings where label is not null) group by finding_id, c) group by finding_id""",
