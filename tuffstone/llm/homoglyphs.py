@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuffstone.llm import looks
+from tuffstone.runtime import spread
 
 TOKEN = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 MAX_WORD = 40
@@ -118,7 +119,7 @@ def vocabulary(df: DataFrame, words: int = 100_000) -> list[tuple[str, int]]:
                 seen.clear()
         yield out()
 
-    counted = df.select("text").where(F.col("text").isNotNull()).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = spread(df.select("text").where(F.col("text").isNotNull())).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where("n > 1").orderBy(F.desc("n"), "token").limit(words)
     return [(r.token, r.n) for r in top.collect()]
 
@@ -144,7 +145,7 @@ def canonical(df: DataFrame, words: int = 100_000) -> DataFrame:
 
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(forms, pa.string()), key(forms), key(texts)], ["doc_id", "form", "form_key", "raw_key"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, form string, form_key string, raw_key string")
+    return spread(df.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, form string, form_key string, raw_key string")
 
 
 def look_classes(df: DataFrame, words: int = 100_000) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuffstone.llm import looks
+from tuffstone.runtime import spread
 
 WORD = re.compile(r"[^\W_]+")
 #: A line number or list number before its sign, as a mark at the start of a line.
@@ -197,6 +198,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, replaced:
     sized = items.select("item_id", "text").where(F.col("text").isNotNull())
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(total // block_chars) + 1
+    texts = spread(documents.select("doc_id", "text").where(F.col("text").isNotNull()))
     found = None
     for block in range(blocks):
         mine = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else sized
@@ -210,7 +212,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, replaced:
                 columns = list(zip(*rows, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
-        part = documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, FOUND)
+        part = texts.mapInArrow(run, FOUND)
         found = part if found is None else found.unionByName(part)
     return found.dropDuplicates(["doc_id", "item_id"])
 

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tuffstone.runtime import spread
+
 # Spellings of license names, as tokens, and the SPDX id each stands for.
 NAMES = {
     "mit": "MIT", "expat": "MIT", "mit x11": "MIT", "mit expat": "MIT",
@@ -274,7 +276,7 @@ def statements(source_files: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file_id", "template", "license", "coverage", "altered"])
 
-    return source_files.select("file_id", "content", is_license_path(F.col("path")).alias("own")).mapInArrow(run, STATEMENT)
+    return spread(source_files.select("file_id", "content", is_license_path(F.col("path")).alias("own"))).mapInArrow(run, STATEMENT)
 
 
 def _file_bounds(source_files: DataFrame) -> DataFrame:
@@ -292,7 +294,7 @@ def _file_bounds(source_files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("repo_id"), batch.column("path"), pa.array(lo, pa.string()), pa.array(hi, pa.string())], ["file_id", "repo_id", "path", "lo", "hi"])
 
     files = source_files.select("file_id", "repo_id", "path", "content", "licenses", is_license_path(F.col("path")).alias("own"))
-    return files.mapInArrow(run, "file_id bigint, repo_id bigint, path string, lo string, hi string")
+    return spread(files).mapInArrow(run, "file_id bigint, repo_id bigint, path string, lo string, hi string")
 
 
 @F.pandas_udf(StringType())

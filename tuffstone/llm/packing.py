@@ -17,6 +17,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuffstone.runtime import spread
+
 #: Fixed value: how the public byte-level vocabulary splits a text before merging.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,7 +43,7 @@ def token_counts(documents: DataFrame, ranks_path: str = RANKS) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64())], ["doc_id", "row", "n_tokens"])
 
-    rows = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = spread(documents.select("doc_id", "text")).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(run, "doc_id bigint, row bigint, n_tokens bigint")
 
 
