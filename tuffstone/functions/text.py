@@ -74,7 +74,7 @@ def base64_text(segment: Column) -> Column:
 def jwt_fields(token: Column, now: Column) -> Column:
     """Struct (ok, alg, exp, expired) of a web token; ``now`` is epoch seconds."""
     parts = F.split(token, r"\.")
-    head, body = base64_text(parts[0]), base64_text(parts[1])
+    head, body = base64_text(F.get(parts, 0)), base64_text(F.get(parts, 1))
     exp = F.get_json_object(body, "$.exp").try_cast("bigint")
     ok = F.get_json_object(head, "$").startswith("{")
     return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), F.get_json_object(head, "$.alg").alias("alg"), exp.alias("exp"), F.coalesce((exp > 0) & (exp < now), F.lit(False)).alias("expired"))

@@ -88,7 +88,7 @@ def ingest_osv(raw: DataFrame) -> DataFrame:
     release = numeric_release(F.when(F.size(eco) > 1, F.array_join(F.slice(eco, 2, F.size(eco)), ":")))
     rows = ranges.join(affected, step).join(head, key).where(~F.col("eco").contains("FIPS"))
     return rows.select(
-        "raw_id", "vuln_pos", "affected_pos", "range_pos", eco[0].alias("eco"), "pkg", "id", "sev", F.coalesce("given_rel", release).alias("rel"), "summary",
+        "raw_id", "vuln_pos", "affected_pos", "range_pos", F.get(eco, 0).alias("eco"), "pkg", "id", "sev", F.coalesce("given_rel", release).alias("rel"), "summary",
         F.transform("e", lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"))).alias("events"),
     )
 
@@ -133,7 +133,7 @@ def osv_join(components: DataFrame, index: DataFrame) -> DataFrame:
 def cpe_part(cpe: Column, field: int) -> Column:
     """Field 3 (vendor) or 4 (product) of a formatted platform name of six or more fields, else null."""
     parts = F.split(cpe, ":")
-    return F.when(F.size(parts) >= 6, F.nullif(parts[field], F.lit("")))
+    return F.when(F.size(parts) >= 6, F.nullif(F.get(parts, field), F.lit("")))
 
 
 def nvd_join(components: DataFrame, entries: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def ingest_nvd(feed: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     parts = F.split("criteria", ":")
     free = F.coalesce("versionStartIncluding", "versionStartExcluding", "versionEndIncluding", "versionEndExcluding").isNull()
     rows = hits.where(F.size(parts) >= 6).select(
-        "id", parts[3].alias("vendor"), parts[4].alias("product"), "cvss", F.when(free & ~parts[5].isin("*", "-"), parts[5]).alias("ver"),
+        "id", F.get(parts, 3).alias("vendor"), F.get(parts, 4).alias("product"), "cvss", F.when(free & ~F.get(parts, 5).isin("*", "-"), F.get(parts, 5)).alias("ver"),
         F.col("versionStartIncluding").alias("si"), F.col("versionStartExcluding").alias("se"), F.col("versionEndIncluding").alias("ei"), F.col("versionEndExcluding").alias("ee"),
     )
     return rows.join(wanted, ["vendor", "product"], "left_semi") if wanted is not None else rows

@@ -57,8 +57,8 @@ def password_files(files: DataFrame) -> DataFrame:
     at = F.transform(F.col("lines"), lambda x, i: F.struct(x.alias("line"), F.aggregate(F.slice(sized, 1, i), F.lit(0), lambda a, b: a + b).alias("at")))
     line = lines.select("path", "shadow", F.explode(at).alias("l")).select("path", "shadow", F.regexp_replace("l.line", "\r$", "").alias("line"), F.col("l.at").alias("at"))
     parts = line.where(~F.col("line").startswith("#") & F.col("line").contains(":")).select(
-        "path", "shadow", "at", F.split("line", ":")[0].alias("user"),
-        F.when(F.col("shadow"), F.split("line", ":")[1]).otherwise(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("hash"),
+        "path", "shadow", "at", F.get(F.split("line", ":"), 0).alias("user"),
+        F.when(F.col("shadow"), F.get(F.split("line", ":"), 1)).otherwise(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("hash"),
     )
     known = parts.where("user <> ''").withColumn("algorithm", hash_algorithm(F.col("hash")))
     empty = F.col("shadow") & (F.col("hash") == "")
