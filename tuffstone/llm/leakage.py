@@ -70,25 +70,43 @@ def keys_of(words: np.ndarray, seed: int, bits: int) -> tuple[np.ndarray, np.nda
 
 
 def suffix_array(words: np.ndarray, seed: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of ``seed`` words or more in order, by prefix doubling, and their packed first words."""
-    keys, places = keys_of(words, seed, bits)
-    if not len(keys):
-        return keys, places
-    order = np.argsort(keys, kind="stable")
-    _, rank_of = np.unique(keys, return_inverse=True)
-    rank = np.zeros(len(words) + 1, np.int64)  # 0: too short to go on
-    rank[places] = rank_of + 1
+    """Suffixes of ``seed`` words or more in order, by prefix doubling, and their packed first words.
+
+    A suffix ends at the next gap; shorter ones take part in the ranking, since longer ones end in them.
+    """
+    every = np.flatnonzero(words > 0)
+    if not len(every):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    padded = np.concatenate([words, np.zeros(seed, words.dtype)])
+    key, going = np.zeros(len(every), np.int64), np.ones(len(every), bool)
+    for k in range(seed):
+        w = padded[every + k]
+        going &= w > 0
+        key = (key << bits) | np.where(going, w, 0)
+    rank = np.zeros(len(words) + 1, np.int64)  # 0: past the end
+    order = np.argsort(key, kind="stable")
+    fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    rank[every[order]] = np.cumsum(fresh)
     depth = seed
-    while depth < 4096:
-        first, second = rank[places], rank[np.minimum(places + depth, len(words))]
+    while not fresh.all():
+        first, second = rank[every], np.where(rank[every] > 0, rank[np.minimum(every + depth, len(words))], 0)
+        second = np.where(_gap_before(words, every, depth), 0, second)
         order = np.lexsort((second, first))
         a, b = first[order], second[order]
+        before = fresh.sum()
         fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        if fresh.all() or fresh.sum() == len(np.unique(first)):
+        if fresh.sum() == before:
             break
-        rank[places[order]] = np.cumsum(fresh)
+        rank[every[order]] = np.cumsum(fresh)
         depth *= 2
-    return keys[order], places[order]
+    keep = going[order]
+    return key[order][keep], every[order][keep]
+
+
+def _gap_before(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Whether a suffix ends within ``depth`` words."""
+    gaps = np.flatnonzero(np.concatenate([words == 0, [True]]))
+    return gaps[np.searchsorted(gaps, places)] < places + depth
 
 
 def _extend(words: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, known: int) -> np.ndarray:
@@ -129,10 +147,10 @@ def _pieces(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, penalty: f
         score = start = best = 0.0
         begin = end = -1
         for k, s in enumerate(same):
-            if score <= 0:
+            if score < 0 or (score == 0 and not s):
                 score, start = 0.0, k
             score += 1 if s else -penalty
-            if s and score > best:
+            if s and score >= best:
                 best, begin, end = score, int(start), k + 1
         if end > begin >= 0:
             out.append((lo + begin, lo + end, lo + begin + int(d), int((~same[begin:end]).sum())))
