@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import gzip
 import json
+import struct
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuffstone.functions.versions import version_key_sql
 from tuffstone.operators import kernel as k
+from tuffstone.operators.kallsyms import DIGITS, kernel_symbols
 from tuffstone.runtime import table
 
 CONFIG = "#\n# Automatically generated file; DO NOT EDIT.\n# Linux/arm 5.4.0 Kernel Configuration\n#\nCONFIG_NETFILTER=y\nCONFIG_NF_TABLES=m\n# CONFIG_TIPC is not set\nCONFIG_STACKPROTECTOR_STRONG=y\n# CONFIG_RANDOMIZE_BASE is not set\nCONFIG_BPF_SYSCALL=y\nCONFIG_BPF_UNPRIV_DEFAULT_OFF=y\nCONFIG_LOCALVERSION=\"x\"\n"
@@ -127,3 +129,35 @@ ORACLE = {
     "kernel_merge": _FEED + "select kernel_version, basis, count(*) as n from b group by all",
     "cna_ingest": "select 'CVE-1' as id, '6.6.2-6.6.9,6.1-6.1.30' as ranges, '5.0-5.4.7' as broad, '5.1-6.8' as mainline, 'HIGH' as sev, 7.8::double as score, 't' as summary",
 }
+
+
+def symbol_blob(names: list[str], order: str = "<", width: int = 4) -> bytes:
+    """A kernel image with a symbol table of ``names``, each compressed by one or two tokens."""
+    tokens = [bytes([c]) if 33 <= c < 127 else f"t{c}".encode() for c in range(256)]
+    tokens[200], tokens[201] = b"init_", b"sys_"
+    body, marks = b"", []
+    for i, n in enumerate(names):
+        if i % 256 == 0:
+            marks.append(len(body))
+        raw = ("T" + n).encode().replace(b"init_", b"\xc8").replace(b"sys_", b"\xc9")
+        body += (bytes([len(raw)]) if len(raw) < 128 else bytes([len(raw) & 0x7F | 0x80, len(raw) >> 7])) + raw
+    align = lambda b: b + b"\0" * (-len(b) % 8)
+    table, offsets = b"", []
+    for t in tokens:
+        offsets.append(len(table))
+        table += t + b"\0"
+    head = align(b"\x01" * 40 + b"Linux version 5.4.0 (x)\0")
+    return head + struct.pack(f"{order}I", len(names)) + (b"\0" * 4 if width == 8 else b"") + align(body) + b"".join(struct.pack(f"{order}{'I' if width == 4 else 'Q'}", m) for m in marks) + table + b"\0" * (len(table) % 2) + struct.pack(f"{order}256H", *offsets) + b"\xff" * 64
+
+
+SYMBOLS = [f"sys_call_{i}" for i in range(300)] + ["init_module", "nft_do_chain", "x" * 200]
+
+
+def kallsyms(spark: SparkSession, sf: str) -> DataFrame:
+    blobs = [("le32", symbol_blob(SYMBOLS)), ("be32", symbol_blob(SYMBOLS, ">")), ("le64", symbol_blob(SYMBOLS, "<", 8)), ("cut", symbol_blob(SYMBOLS)[:2000]), ("none", b"Linux version 4\0" + DIGITS * 3)]
+    got = kernel_symbols(spark.createDataFrame([(p, bytearray(b)) for p, b in blobs], "path string, content binary"))
+    return got.groupBy("path", "complete").agg(F.count("*").alias("n"), F.max("symbol").alias("last"), F.min("symbol").alias("first"))
+
+
+QUERIES["kallsyms"] = kallsyms
+ORACLE["kallsyms"] = "select unnest(['le32', 'be32', 'le64']) as path, true as complete, 303 as n, repeat('x', 200) as last, 'init_module' as first"
