@@ -244,3 +244,26 @@ def write_index(index: DataFrame, path: str) -> None:
 def lookup(index: DataFrame, eco: str, pkg: str) -> DataFrame:
     """The advisories of one package."""
     return index.where((F.col("eco") == eco) & (F.col("pkg") == pkg))
+
+
+def read_nvd_index(spark, path: str) -> DataFrame:
+    """Rows (id, vendor, product, cvss, ver, si, se, ei, ee) of an index file ``{source, vulns: [...]}``; '' for what is absent."""
+    fields = ("id", "vendor", "product", "cvss", "ver", "si", "se", "ei", "ee")
+    schema = f"source string, vulns array<struct<{','.join(f'{f}:string' for f in fields)}>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("vulns").alias("v")).select("v.*")
+    return rows.select(*[F.coalesce(f, F.lit("")).alias(f) for f in fields]).where("id <> '' and vendor <> '' and product <> ''")
+
+
+def read_feed_index(spark, path: str) -> DataFrame:
+    """Rows (id, ranges, broad, mainline, sev, score, summary) of a kernel feed file ``{schema, source, generated, cves: [...]}``."""
+    schema = "cves array<struct<id:string,ranges:array<array<string>>,broad:array<array<string>>,mainline:array<string>,sev:string,score:double,sum:string>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("cves").alias("c")).select("c.*")
+    pair = lambda p: F.struct(F.get(p, 0).alias("lo"), F.get(p, 1).alias("hi"))
+    pairs = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<array<string>>")), pair)
+    main = F.when(F.size("mainline") == 2, pair(F.col("mainline")))
+    return rows.select("id", pairs("ranges").alias("ranges"), pairs("broad").alias("broad"), main.alias("mainline"), "sev", F.coalesce("score", F.lit(-1.0)).alias("score"), F.col("sum").alias("summary"))
+
+
+def products_of(components: DataFrame) -> DataFrame:
+    """Distinct (vendor, product) of the platform names of components: what an advisory feed has to cover."""
+    return components.select(cpe_part(F.col("cpe"), 3).alias("vendor"), cpe_part(F.col("cpe"), 4).alias("product")).where("vendor is not null and product is not null").distinct()

@@ -526,3 +526,14 @@ def shared_primes(keys: DataFrame, block: int = 2000, most_bits: int = 16384) ->
 
     hits = paired.groupBy("lo", "hi").applyInArrow(run, "n binary").distinct()
     return rsa.join(hits, "n").select("path", "offset", F.lit("shared-prime").alias("type"), F.lit("high").alias("severity"), F.lit(95).alias("confidence"), "label", F.lit("shares a prime factor with another key").alias("evidence"))
+
+
+def fingerprint_corpus(files: DataFrame, key_use: str) -> DataFrame:
+    """``(fingerprint, name, key_use, ref)`` of the keys in ``files(path, content binary)``: a corpus for ``leaked_keys``.
+
+    Every fingerprint of a key is listed; the smallest path names it.
+    """
+    found = extract_keys(files)
+    each = found.select("path", "label", F.explode(F.array("fp_ssh", "fp_modn", "fp_der")).alias("fingerprint")).where("fingerprint is not null")
+    named = each.groupBy("fingerprint").agg(F.min("label").alias("name"), F.min("path").alias("ref"))
+    return named.select("fingerprint", "name", F.lit(key_use).alias("key_use"), "ref")

@@ -1,0 +1,124 @@
+"""Queries of advisory ingest and of the built-in rules over fixtures, with their SQL."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tuffstone.operators import advisories as adv
+from tuffstone.operators import keys, licenses, secrets
+from tuffstone.plans.key_queries import files as key_files
+from tuffstone.runtime import put_file, table
+
+
+def _criteria(product: str, version: str) -> str:
+    return f"cpe:2.3:a:acme:{product}:{version}:*:*:*:*:*:*:*"
+
+
+FEED = {"vulnerabilities": [
+    {"cve": {"id": "CVE-1", "metrics": {"cvssMetricV2": [{"cvssData": {"vectorString": "AV:N"}}], "cvssMetricV31": [{"cvssData": {"vectorString": "CVSS:3.1/x"}}]}, "configurations": [{"nodes": [{"cpeMatch": [
+        {"vulnerable": True, "criteria": _criteria("lib", "*"), "versionEndExcluding": "2.0"}, {"vulnerable": False, "criteria": _criteria("lib", "*")}, {"vulnerable": True, "criteria": _criteria("lib", "1.5")}, {"vulnerable": True, "criteria": _criteria("other", "-")}]}]}]}},
+    {"cve": {"id": "CVE-2", "configurations": [{"nodes": [{"cpeMatch": [{"vulnerable": True, "criteria": "cpe:2.3:a:acme"}]}]}]}},
+]}
+
+
+def nvd_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    feed = spark.read.schema(adv.NVD_FEED).json(put_file(spark, "nvd.json", json.dumps(FEED).encode()), multiLine=True)
+    return adv.ingest_nvd(feed, spark.createDataFrame([("acme", "lib")], "vendor string, product string"))
+
+
+def kev_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    return adv.read_kev(spark, put_file(spark, "kev.json", b'{"vulnerabilities":[{"cveID":"CVE-1"},{"cveID":"X-2"},{"cveID":"CVE-1"}],"cves":["CVE-3"]}'))
+
+
+def epss_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    return adv.read_epss(spark, put_file(spark, "epss.csv.gz", gzip.compress(b"#model:v1\ncve,epss,percentile\nCVE-1,0.5,0.9\nCVE-2,0.01,0.1\nbad,1,1\n")))
+
+
+def nvd_index_read(spark: SparkSession, sf: str) -> DataFrame:
+    return adv.read_nvd_index(spark, put_file(spark, "i.json", b'{"source":"s","vulns":[{"id":"CVE-1","vendor":"a","product":"b","ee":"1.0"},{"id":"","vendor":"a","product":"b"}]}'))
+
+
+def feed_index_read(spark: SparkSession, sf: str) -> DataFrame:
+    got = adv.read_feed_index(spark, put_file(spark, "k.json", b'{"schema":1,"cves":[{"id":"CVE-1","ranges":[["6.6","6.6.9"]],"mainline":["5.1","6.7"],"score":7.8},{"id":"CVE-2"}]}'))
+    show = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws("-", p["lo"], p["hi"])), ",")
+    return got.select("id", show("ranges").alias("ranges"), F.concat_ws("-", "mainline.lo", "mainline.hi").alias("mainline"), "score")
+
+
+def cpe_products(spark: SparkSession, sf: str) -> DataFrame:
+    return adv.products_of(table(spark, sf, "components"))
+
+
+def index_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The advisories of the packages that components of the first image carry."""
+    index = adv.latest_index(table(spark, sf, "osv_index"))
+    wanted = table(spark, sf, "components").where("image_id = 1").select(F.col("name").alias("pkg")).distinct()
+    return index.join(wanted, "pkg", "left_semi").groupBy("eco", "pkg").agg(F.count("*").alias("n"))
+
+
+def license_path_test(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "source_files").groupBy(licenses.is_license_path(F.col("path")).alias("is_license")).agg(F.count("*").alias("n"))
+
+
+def _token(prefix: str, n: int) -> str:
+    letters = "aB3dE7gH1jK9mN2pQ4rS6tU8vW0xY5zC"
+    return prefix + (letters * 8)[:n]
+
+
+def _classic() -> str:
+    body = _token("", 30)
+    return f"ghp_{body}{secrets.checksum6(body.encode())}"
+
+
+def _jwt() -> str:
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    return f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 'abcdef', 'exp': 1700000000})}.{_token('', 24)}"
+
+
+def rule_files() -> list[tuple[str, bytes]]:
+    """One file for each rule and for each encoding, and files that only look alike."""
+    upper = _token("", 60).upper()
+    value = _token("", 24)
+    pem = base64.encodebytes(bytes(range(200))).decode()
+    return [
+        ("aws", f"id AKIA{upper[:16]} x".encode()), ("aws-long", f"AKIA{upper[:17]}".encode()), ("github", _classic().encode()), ("github-odd", _token("ghp_", 36).encode()), ("pat", _token("github_pat_", 82).encode()),
+        ("gitlab", _token("glpat-", 20).encode()), ("npm", _token("npm_", 36).encode()), ("slack", _token("xoxb-", 40).encode()), ("stripe", _token("sk_live_", 24).encode()), ("sendgrid", _token("SG.", 60).encode()),
+        ("google", _token("AIza", 35).encode()), ("oauth", _token("ya29.", 60).encode()), ("jwt", _jwt().encode()), ("pem", f"-----BEGIN RSA PRIVATE KEY-----\n{pem}-----END RSA PRIVATE KEY-----\n".encode()),
+        ("pem-label", b"-----BEGIN RSA PRIVATE KEY-----\0-----END RSA PRIVATE KEY-----\0"), ("pem-public", f"-----BEGIN PUBLIC KEY-----\n{pem}-----END PUBLIC KEY-----\n".encode()),
+        ("generic", f'password = "{value}"'.encode()), ("placeholder", f"password=example{value}".encode()), ("words", b"password = this.is.only.a.chain.of.words"), ("format", b"password=%s%d%s%d%s%d%s%dabc"),
+        ("base64", base64.b64encode(f"token {_token('npm_', 36)} end".encode())), ("wide", _token("npm_", 36).encode("utf-16-le") + b"\0\0"), ("binary", bytes(range(128, 256)) * 40 + _token("npm_", 36).encode() + bytes(range(128, 256)) * 40),
+    ]
+
+
+def rule_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    files = spark.createDataFrame([(p, bytearray(b)) for p, b in rule_files()], "path string, content binary")
+    return secrets.scan_secrets(files, now=1750000000).select("path", "type", "confidence", "offset")
+
+
+def key_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = keys.fingerprint_corpus(key_files(spark).where("path in ('ok.pub', 'cert.pem')"), "authorized")
+    found = keys.leaked_keys(keys.extract_keys(key_files(spark)), corpus)
+    return found.select("path", "evidence")
+
+
+QUERIES = {f.__name__: f for f in (nvd_ingest, kev_ingest, epss_ingest, nvd_index_read, feed_index_read, cpe_products, index_lookup, license_path_test, rule_fixture, key_corpus)}
+
+ORACLE = {
+    "nvd_ingest": "select * from (values ('CVE-1', 'acme', 'lib', 'CVSS:3.1/x', null, null, null, null, '2.0'), ('CVE-1', 'acme', 'lib', 'CVSS:3.1/x', '1.5', null, null, null, null)) t(id, vendor, product, cvss, ver, si, se, ei, ee)",
+    "kev_ingest": "select unnest(['CVE-1', 'CVE-3']) as cve_id",
+    "epss_ingest": "select * from (values ('CVE-1', 0.5::double), ('CVE-2', 0.01)) t(cve_id, epss)",
+    "nvd_index_read": "select 'CVE-1' as id, 'a' as vendor, 'b' as product, '' as cvss, '' as ver, '' as si, '' as se, '' as ei, '1.0' as ee",
+    "feed_index_read": "select * from (values ('CVE-1', '6.6-6.6.9', '5.1-6.7', 7.8::double), ('CVE-2', '', '', -1)) t(id, ranges, mainline, score)",
+    "cpe_products": "select distinct split_part(cpe, ':', 4) as vendor, split_part(cpe, ':', 5) as product from components where len(string_split(cpe, ':')) >= 6 and split_part(cpe, ':', 4) <> '' and split_part(cpe, ':', 5) <> ''",
+    "index_lookup": """select eco, pkg, count(*) as n from (select distinct eco, pkg, upper(trim(id)), trim(coalesce(rel, '')) from osv_index where snap_no = (select max(snap_no) from osv_index))
+      where pkg in (select name from components where image_id = 1) group by all""",
+    "license_path_test": "select regexp_matches(lower(path), '(^|/)((license|licence|copying|notice|copyright|unlicense|eula)([.][^/]*)?|[^/]*[.]license)(/|$)') as is_license, count(*) as n from source_files group by 1",
+    "rule_fixture": """select * from (values ('aws', 'aws-access-key-id', 60, 3::bigint), ('github', 'github-token', 95, 0), ('github-odd', 'github-token', 60, 0), ('pat', 'github-fine-grained-pat', 60, 0), ('gitlab', 'gitlab-pat', 60, 0), ('npm', 'npm-token', 60, 0),
+      ('slack', 'slack-token', 60, 0), ('stripe', 'stripe-key', 60, 0), ('sendgrid', 'sendgrid-key', 60, 0), ('google', 'google-api-key', 60, 0), ('oauth', 'google-oauth-token', 60, 0), ('jwt', 'jwt', 80, 0), ('pem', 'private-key', 80, 0),
+      ('generic', 'generic-secret', 60, 0), ('base64', 'npm-token', 60, 0), ('wide', 'npm-token', 60, 0)) t(path, type, confidence, "offset")""",
+    "key_corpus": "select unnest(['ok.pub', 'ok.pem', 'cert.pem', 'cert.der', 'key.pem']) as path, 'an attacker can log in with the public-domain private key' as evidence",
+}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuffstone.operators import reports
-from tuffstone.runtime import table
+from tuffstone.runtime import put_file, table
 from tuffstone.sources import files as sources
 from tuffstone.streaming import scan
 
@@ -51,28 +51,30 @@ def text_listing(spark: SparkSession, sf: str) -> DataFrame:
     return reports.text_listing(f).select("type", "label", "times")
 
 
-def _tree() -> str:
-    root = tempfile.mkdtemp(prefix="tree-")
-    for path, content in (("etc/a.conf", b"x=1\n"), ("bin/b", b"\x7fELF\0"), ("empty", b""), ("SHA256SUMS", f"{hashlib.sha256(b'x=1' + bytes([10])).hexdigest()}  a.conf\n{'0' * 64} *b\n{'1' * 64}  gone\nnot a line\n".encode())):
-        os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
-        with open(f"{root}/{path}", "wb") as f:
-            f.write(content)
-    os.symlink("b", f"{root}/bin/link")
-    return root
+def _tree(spark: SparkSession) -> str:
+    """A small tree in the shared folder."""
+    folder = f"tree-{uuid.uuid4().hex}"
+    sums = f"{hashlib.sha256(b'x=1' + bytes([10])).hexdigest()}  a.conf\n{'0' * 64} *b\n{'1' * 64}  gone\nnot a line\n".encode()
+    for path, content in (("etc/a.conf", b"x=1\n"), ("bin/b", b"\x7fELF\0"), ("empty", b""), ("SHA256SUMS", sums)):
+        put_file(spark, path, content, folder)
+    return f"{spark.sparkContext.getCheckpointDir()}/{folder}"
 
 
 def tree_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return sources.files_df(spark, _tree()).where("path <> 'SHA256SUMS' and path <> 'bin/link'").select("path", "length")
+    return sources.files_df(spark, _tree(spark)).where("path <> 'SHA256SUMS'").select("path", "length")
 
 
 def symlink_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return sources.symlinks(spark, _tree())
+    with tempfile.TemporaryDirectory() as root:  # links are read by the driver alone
+        os.makedirs(f"{root}/bin")
+        os.symlink("b", f"{root}/bin/link")
+        return sources.symlinks(spark, root)
 
 
 def checksum_verify(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources.files_df(spark, _tree())
+    files = sources.files_df(spark, _tree(spark))
     manifest = sources.checksum_manifest(files.where("path = 'SHA256SUMS'").select(F.col("content").cast("string").alias("content")))
-    return sources.verify_files(files.where("path <> 'bin/link'"), manifest)
+    return sources.verify_files(files, manifest)
 
 
 def index_file(spark: SparkSession, sf: str) -> DataFrame:

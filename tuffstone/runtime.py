@@ -51,3 +51,20 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def put_file(spark: SparkSession, name: str, content: bytes, folder: str | None = None) -> str:
+    """Write a small file into the shared folder, whatever its file system; returns its path.
+
+    Files of one ``folder`` name lie together.
+    """
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    path = f"{context.getCheckpointDir()}/{folder or f'file-{uuid.uuid4().hex}'}/{name}"
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+    try:
+        out.write(content, 0, len(content))
+    finally:
+        out.close()
+    return path

@@ -18,7 +18,8 @@ def files_df(spark: SparkSession, root: str) -> DataFrame:
     Content is read only where a query uses it. The reader lists no empty files.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = "^.*?" + re.escape(os.path.abspath(root).rstrip("/")) + "/"
+    bare = re.sub("^[a-z0-9]+:(?://[^/]*)?(?=/)", "", root)
+    prefix = "^.*?" + re.escape((bare if bare.startswith("/") else os.path.abspath(bare)).rstrip("/")) + "/"
     return df.select(F.regexp_replace("path", prefix, "").alias("path"), "content", "length")
 
 
