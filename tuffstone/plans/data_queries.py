@@ -62,7 +62,39 @@ f as (
   where p.nxt is not null and n.feed is null)
 """
 
+def _level(name: str, source: str, keys: str, value: str, position: str) -> str:
+    """One level of arrays: elements of ``value`` with their place; one object counts as an array of one."""
+    many = f"case when json_type({value}) = 'ARRAY' then json_extract({value}, '$[*]') when {value} is null or json_type({value}) = 'NULL' then [] else [{value}] end"
+    return f"{name} as (select {keys}, unnest(generate_series(0, len(l) - 1)) as {position}, unnest(l) as j from (select {keys}, {many} as l from {source}))"
+
+
+_P2 = f"""
+with t as (select raw_id, ltrim(trim(body, e' \\n\\t\\r'), chr(65279)) as b from osv_raw),
+w as (select raw_id, case when json_valid(b) then case when json_type(b) = 'VARCHAR' then ltrim(trim(json_extract_string(b, '$')), chr(65279)) else b end end as b from t),
+p as (select raw_id, cast(b as json) as j from w where json_valid(b) and json_type(b) in ('ARRAY', 'OBJECT')),
+r as (select raw_id, case when json_type(j) = 'OBJECT' and json_extract(j, '$.vulns') is not null then json_extract(j, '$.vulns') else j end as j from p),
+{_level("v", "r", "raw_id", "j", "vuln_pos")},
+{_level("a", "(select raw_id, vuln_pos, json_extract(j, '$.affected') as j from v where json_type(j) = 'OBJECT')", "raw_id, vuln_pos", "j", "affected_pos")},
+{_level("g", "(select raw_id, vuln_pos, affected_pos, json_extract(j, '$.ranges') as j from a where json_type(j) = 'OBJECT')", "raw_id, vuln_pos, affected_pos", "j", "range_pos")},
+{_level("e", "(select raw_id, vuln_pos, affected_pos, range_pos, json_extract(j, '$.events') as j from g where json_type(j) = 'OBJECT')", "raw_id, vuln_pos, affected_pos, range_pos", "j", "event_pos")},
+{_level("x", "(select raw_id, vuln_pos, json_extract(j, '$.ev') as j from v where json_type(j) = 'OBJECT' and json_extract(j, '$.affected') is null)", "raw_id, vuln_pos", "j", "event_pos")},
+o as (
+  select raw_id, vuln_pos, affected_pos, range_pos, event_pos, k.t as ev_type, json_extract_string(j, k.f) as ev_value from e, (values ('i', '$.introduced'), ('f', '$.fixed'), ('l', '$.last_affected')) k(t, f) where json_type(j) = 'OBJECT'
+  union all select raw_id, vuln_pos, 0, 0, event_pos, left(lower(json_extract_string(j, '$[0]')), 1), json_extract_string(j, '$[1]') from x where json_type(j) = 'ARRAY')
+"""
+
 ORACLE = {
+    "p2_records": _P2
+    + """, f as (select *, json_extract(j, '$.ev') is not null and json_extract(j, '$.affected') is null as ix from v where json_type(j) = 'OBJECT')
+      select raw_id, vuln_pos, nullif(json_extract_string(j, '$.id'), '') as id, nullif(json_extract_string(j, case when ix then '$.sum' else '$.summary' end), '') as summary, case when not ix then nullif(json_extract_string(j, '$.details'), '') end as details,
+      nullif(json_extract_string(j, '$.modified'), '') as modified, nullif(json_extract_string(j, '$.rel'), '') as rel from f""",
+    "p2_affected": _P2
+    + """select raw_id, vuln_pos, affected_pos, nullif(json_extract_string(j, '$.package.ecosystem'), '') as eco, nullif(json_extract_string(j, '$.package.name'), '') as pkg, nullif(json_extract_string(j, '$.package.purl'), '') as purl from a where json_type(j) = 'OBJECT'
+      union all select raw_id, vuln_pos, 0, nullif(json_extract_string(j, '$.eco'), ''), nullif(json_extract_string(j, '$.pkg'), ''), null from v where json_type(j) = 'OBJECT' and json_extract(j, '$.ev') is not null and json_extract(j, '$.affected') is null""",
+    "p2_ranges": _P2
+    + """select raw_id, vuln_pos, affected_pos, range_pos, nullif(json_extract_string(j, '$.type'), '') as type, nullif(json_extract_string(j, '$.repo'), '') as repo from g where json_type(j) = 'OBJECT'
+      union all select raw_id, vuln_pos, 0, 0, null, null from v where json_type(j) = 'OBJECT' and json_extract(j, '$.ev') is not null and json_extract(j, '$.affected') is null""",
+    "p2_found": _P2 + "select * from o where ev_value <> ''",
     "p5_found": _P5 + "select feed, snap_no, eco, pkg, id, rel, change from f where change is not null",
     "p5_change_counts": _P5 + "select feed, snap_no, change, count(*) as n from f where change is not null group by all",
 }
