@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuffstone.llm import looks
-from tuffstone.runtime import spread
+from tuffstone.runtime import cut, spread
 
 TOKEN = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 MAX_WORD = 40
@@ -94,11 +94,11 @@ def is_canonical(token: str) -> bool:
 
 
 def vocabulary(df: DataFrame, words: int = 100_000) -> list[tuple[str, int]]:
-    """The ``words`` most frequent canonical tokens of ``df(text)`` with their counts over all rows.
+    """The most frequent canonical tokens of ``df(text)``, at most ``words``, with their counts over all rows.
 
-    Counts are folded within each batch before they are shuffled. What comes to the driver is bounded by
-    ``words`` tokens of at most 40 characters, some 5 MB; words beyond it are spelled by table, which is
-    the same for all tokens of one look.
+    Counts are folded within each batch before they are shuffled. A histogram of the counts finds the least
+    count with which no more than ``words`` tokens remain, so what comes to the driver is bounded: tokens of
+    at most 40 characters, some 5 MB. Other words are spelled by table, the same for all tokens of one look.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +120,15 @@ def vocabulary(df: DataFrame, words: int = 100_000) -> list[tuple[str, int]]:
         yield out()
 
     counted = spread(df.select("text").where(F.col("text").isNotNull())).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "token").limit(words)
-    return [(r.token, r.n) for r in top.collect()]
+    kept = cut(counted.where("n > 1"))
+    # Exact below 4096, in fine steps above: a few thousand buckets whatever the counts.
+    bucket = F.when(F.col("n") < 4096, F.col("n")).otherwise((F.log2("n") * 512).cast("bigint"))
+    room, least = words, None
+    for b, size in sorted(((r[0], r[1]) for r in kept.groupBy(bucket.alias("b")).count().collect()), reverse=True):
+        if size > room:
+            break
+        room, least = room - size, b
+    return [] if least is None else [(r.token, r.n) for r in kept.where(bucket >= least).orderBy(F.desc("n"), "token").collect()]
 
 
 def canonical(df: DataFrame, words: int = 100_000) -> DataFrame:
@@ -163,12 +170,18 @@ def look_classes(df: DataFrame, words: int = 100_000) -> DataFrame:
 def same_look_pairs(df: DataFrame, words: int = 100_000) -> DataFrame:
     """``(doc_id_a, doc_id_b)``, a < b: documents that look the same but are different strings.
 
-    Only classes with two or more spellings are paired, so plain copies never meet each other. Repeated
-    rows of one doc_id give no pair with themselves; texts without any ink are left out.
+    Spellings of a class are paired, not documents; copies are put back at the end, so plain copies never
+    meet each other. Repeated rows of one doc_id give no pair with themselves; texts of blanks are left out.
     """
     docs = canonical(df, words).where(F.col("form_key").isNotNull() & (F.trim("form") != "")).select("doc_id", "form_key", "raw_key")
-    several = docs.groupBy("form_key").agg(F.min("raw_key").alias("least"), F.max("raw_key").alias("most")).where("least <> most").select("form_key")
-    mixed = docs.join(several, "form_key")
-    a = mixed.select("form_key", F.col("raw_key").alias("raw_a"), F.col("doc_id").alias("doc_id_a"))
-    b = mixed.select("form_key", F.col("raw_key").alias("raw_b"), F.col("doc_id").alias("doc_id_b"))
-    return a.join(b, "form_key").where("raw_a <> raw_b and doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+    docs = cut(docs)
+    spellings = docs.groupBy("form_key", "raw_key").agg(F.count("*").alias("n"))
+    several = spellings.groupBy("form_key").agg(F.min("raw_key").alias("least"), F.max("raw_key").alias("most")).where("least <> most").select("form_key")
+    mixed = spellings.join(several, "form_key", "left_semi")
+    a = mixed.select("form_key", F.col("raw_key").alias("raw_a"))
+    b = mixed.select("form_key", F.col("raw_key").alias("raw_b"))
+    pairs = a.join(b, "form_key").where("raw_a < raw_b").select("raw_a", "raw_b")
+    of_a = docs.select(F.col("raw_key").alias("raw_a"), F.col("doc_id").alias("x"))
+    of_b = docs.select(F.col("raw_key").alias("raw_b"), F.col("doc_id").alias("y"))
+    both = pairs.join(of_a, "raw_a").join(of_b, "raw_b").where("x <> y")
+    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
