@@ -80,8 +80,10 @@ class Speller:
         if got is None:
             if len(self.known) >= self.keep:
                 self.known.clear()
-            got = self.trie.best(token) if len(token) <= MAX_WORD else None
-            self.known[token] = got = got if got is not None else looks.table_spelling(token)
+            # The spelling by table is the same for all tokens of one look, so its length may decide.
+            plain = looks.table_spelling(token)
+            got = self.trie.best(token) if len(plain) <= MAX_WORD else None
+            self.known[token] = got = got if got is not None else plain
         return got
 
     def text(self, text: str) -> str:

@@ -159,13 +159,19 @@ def _pieces(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, penalty: f
 
 def best_cover(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, penalty: float) -> tuple[int, int, int, int]:
     """(covered words, replaced, pieces, first document word) of the best one or two pieces in order."""
-    pieces = _pieces(doc, item, diagonals, penalty)
+    # Of pieces with the same words the earliest serves best as the first and the latest as the second.
+    earliest: dict[tuple, tuple] = {}
+    latest: dict[tuple, tuple] = {}
     best = (0, 0, 0, 0)
-    for a in pieces:
+    for a in _pieces(doc, item, diagonals, penalty):
         if a[1] - a[0] > best[0]:
             best = (a[1] - a[0], a[3], 1, a[2])
-    for a in pieces:
-        for b in pieces:
+        if a[:2] not in earliest or a[2] < earliest[a[:2]][2]:
+            earliest[a[:2]] = a
+        if a[:2] not in latest or a[2] > latest[a[:2]][2]:
+            latest[a[:2]] = a
+    for a in earliest.values():
+        for b in latest.values():
             if b[2] - b[0] == a[2] - a[0] or b[1] <= a[1] or b[0] <= a[0] or b[2] <= a[2]:
                 continue
             over = max(0, a[1] - b[0], a[2] + a[1] - a[0] - b[2])

@@ -59,7 +59,8 @@ TEMPLATES = [
 SAME_WORD = {"work": "file", "program": "file", "software": "file", "project": "file", "library": "file", "package": "file", "module": "file", "licence": "license", "licenced": "licensed"}
 
 TOKEN = re.compile(r"licenseref-[\w.\-]+|[a-z]+|[0-9]+(?:\.[0-9]+)*|\+|/")
-MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|\*|//+|#+|--+|;+|<!--|-->|%+|>+|\"\"\"|''')*|[ \t]*(?:\*+/|-->)[ \t]*\r?$")
+#: Comment signs at the start and the end of lines; every run is taken at once, so long runs stay cheap.
+MARKS = re.compile(r"(?m)^[ \t]*(?:/?\*+/?|//+|#+|--+>?|;+|<!--|%+|>+|\"\"\"|''')*|(?<!\*)\*+/[ \t]*\r?$|(?<!-)--+>[ \t]*\r?$")
 FIELD = re.compile(r"(?im)^[ \t]*@?(spdx-license-identifier[ \t]*:|licen[sc]e[ \t]*[:\-–][ \t]|licen[sc]e(?=[ \t]+\S)(?<=@license)|_*license_*[ \t]*=[ \t]*|module_license[ \t]*\()[ \t]*[\"'(]*([^\n\r\"';]*)")
 HINT = re.compile(r"licen[sc]e|\bterms\b|\brights\b|\bgoverned\b|\bchose\b|\bavailable\b|\bapplies\b|\bhand\b", re.IGNORECASE)
 
