@@ -82,7 +82,7 @@ def fixture() -> list[tuple[str, bytes]]:
     files = [
         ("ok.pub", b"ssh-rsa " + base64.b64encode(ssh) + b" me\n"), ("ok.pem", pem("PUBLIC KEY", spki(sound, 65537))), ("cert.pem", pem("CERTIFICATE", certificate(spki(sound, 65537)))), ("cert.der", certificate(spki(sound, 65537))),
         ("tiny.pem", pem("PUBLIC KEY", spki(prime(256, 1) * prime(256, 2), 65537))), ("weak.pem", pem("RSA PUBLIC KEY", tlv(0x30, number(prime(768, 1) * prime(768, 2)) + number(3)))),
-        ("exp1.pem", pem("PUBLIC KEY", spki(prime(1024, 7) * prime(1024, 8), 1))), ("expeven.pem", pem("PUBLIC KEY", spki(prime(1024, 9) * prime(1024, 10), 4))), ("even.pem", pem("PUBLIC KEY", spki(2 * prime(1024, 1) * prime(1024, 2), 65537))),
+        ("exp1.pem", pem("PUBLIC KEY", spki(prime(1024, 7) * prime(1024, 8), 1))), ("expeven.pem", pem("PUBLIC KEY", spki(prime(1024, 9) * prime(1024, 10), 4))), ("even.pem", pem("PUBLIC KEY", spki(2 * prime(1024, 14) * prime(1024, 15), 65537))),
         ("fermat.pem", pem("PUBLIC KEY", spki(close * near, 65537))), ("wiener.pem", pem("PUBLIC KEY", spki(wp * wq, pow(small_d, -1, (wp - 1) * (wq - 1))))),
         ("share1.pem", pem("PUBLIC KEY", spki(prime(1024, 11) * prime(1024, 12), 65537))), ("share2.pem", pem("PUBLIC KEY", spki(prime(1024, 11) * prime(1024, 13), 65537))),
         *[(f"ec-{c}.pem", pem("PUBLIC KEY", ec_spki(c, *xy))) for c, xy in points.items()], ("ec-secp256k1.pem", pem("PUBLIC KEY", ec_spki("secp256k1", gx, gy))),
