@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tuffstone.operators import der, keys
 
 
+SMALL = math.prod(p for p in range(2, 5000) if all(p % d for d in range(2, math.isqrt(p) + 1)))
+
+
 def is_prime(n: int) -> bool:
-    if n < 2 or any(n % p == 0 and n != p for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29)):
+    """Whether a number above 5000 passes a sieve and twelve Miller-Rabin rounds."""
+    if math.gcd(n, SMALL) != 1:
         return False
     d, s = n - 1, 0
     while d % 2 == 0:
@@ -19,7 +24,7 @@ def is_prime(n: int) -> bool:
     for a in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37):
         x = pow(a, d, n)
         if x not in (1, n - 1) and all((x := x * x % n) != n - 1 for _ in range(s - 1)):
-            return n in (a,)
+            return False
     return True
 
 

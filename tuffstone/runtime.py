@@ -47,8 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it comes in so few parts that most would idle; else as it is.
 
-    Large inputs have many more parts than there are cores and are never shuffled here.
+    Large inputs have many more parts than there are cores and are never shuffled here; nor are inputs that
+    come out of a shuffle, whose parts were chosen by size.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
