@@ -93,14 +93,19 @@ def ingest_osv(raw: DataFrame) -> DataFrame:
     )
 
 
-def latest_index(osv_index: DataFrame) -> DataFrame:
-    """The last snapshot of an advisory index, each (eco, pkg, id, rel) as loaded last, with version keys."""
+def latest_index(osv_index: DataFrame, keyed: bool = True) -> DataFrame:
+    """The last snapshot of an advisory index, each (eco, pkg, id, rel) as loaded last.
+
+    With ``keyed`` the events carry version keys, as an index that is written once should; ``osv_join`` also
+    takes one without and then keys only the packages it needs.
+    """
     newest = osv_index.agg(F.max("snap_no").alias("snap_no"))
     rows = osv_index.join(F.broadcast(newest), "snap_no")
     clean = rows.select("eco", "pkg", F.upper(F.trim("id")).alias("id"), F.coalesce(F.trim("rel"), F.lit("")).alias("rel"), F.nullif(F.col("sev"), F.lit("")).alias("sev"), "summary", "events", "loaded_at", "row_id")
     last = Window.partitionBy("eco", "pkg", "id", "rel").orderBy(F.col("loaded_at").desc_nulls_last(), F.desc("row_id"))
     kept = clean.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "loaded_at", "row_id")
-    return kept.withColumn("events", keyed_events(F.coalesce("events", F.array().cast("array<struct<type:string,value:string>>"))))
+    events = F.coalesce("events", F.array().cast("array<struct<type:string,value:string>>"))
+    return kept.withColumn("events", keyed_events(events) if keyed else events)
 
 
 def with_distro(components: DataFrame, images: DataFrame) -> DataFrame:
@@ -112,17 +117,22 @@ def with_distro(components: DataFrame, images: DataFrame) -> DataFrame:
     return joined.withColumn("eco", source_ecosystem(F.col("source"), distro)).withColumn("release", F.coalesce(release, F.lit("")))
 
 
-def osv_join(components: DataFrame, index: DataFrame) -> DataFrame:
+def osv_join(components: DataFrame, index: DataFrame, salts: int = 16) -> DataFrame:
     """Matches of components with eco and release against an index: ``(component, purl, cve_id, severity, basis, summary)``.
 
     Components are folded to distinct (eco, name, version, release) before the join, so a package found in
     many images is matched once; releases must agree only where both are known. One row per component and
-    advisory: the smallest basis, then severity, is kept.
+    advisory: the smallest basis, then severity, is kept. The advisories of a package lie in ``salts``
+    parts, each met by the versions of the package, so one package may hold any share of either table.
     """
     wanted = components.where("eco is not null and coalesce(name, '') <> '' and coalesce(version, '') <> ''")
     distinct = wanted.groupBy("eco", "name", "version", "release").agg(F.min("purl").alias("purl")).withColumn("vkey", version_key(F.col("version")))
     advisories = index.select("eco", F.col("pkg").alias("name"), "id", "rel", "sev", "summary", "events")
-    both = distinct.join(advisories, ["eco", "name"]).where("release = '' or rel = '' or release = rel").where(is_affected(F.col("vkey"), F.col("events")))
+    if "vkey" not in dict(index.dtypes)["events"]:
+        advisories = advisories.join(distinct.select("eco", "name").distinct(), ["eco", "name"], "left_semi").withColumn("events", keyed_events(F.col("events")))
+    known = distinct.join(advisories.select("eco", "name").distinct(), ["eco", "name"], "left_semi")
+    parts = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = parts.join(advisories.withColumn("salt", F.pmod(F.xxhash64("id", "rel"), F.lit(salts)).cast("int")), ["eco", "name", "salt"]).where("release = '' or rel = '' or release = rel").where(is_affected(F.col("vkey"), F.col("events")))
     precise = (F.col("release") != "") & (F.col("rel") != "")
     basis = F.concat(F.lit("exact-range ("), "eco", F.when(precise, F.concat(F.lit(":"), F.col("rel"))).otherwise(""), F.lit(")"))
     rows = both.select(F.concat_ws("@", "name", "version").alias("component"), "purl", F.col("id").alias("cve_id"), F.coalesce("sev", F.lit("")).alias("severity"), basis.alias("basis"), F.coalesce("summary", F.lit("")).alias("summary"))

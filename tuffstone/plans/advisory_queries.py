@@ -43,7 +43,7 @@ def ecosystem_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def _osv(spark: SparkSession, sf: str) -> DataFrame:
     c = adv.with_distro(table(spark, sf, "components"), table(spark, sf, "images"))
-    return adv.osv_join(c, adv.latest_index(table(spark, sf, "osv_index")))
+    return adv.osv_join(c, adv.latest_index(table(spark, sf, "osv_index"), keyed=False))
 
 
 def _nvd(spark: SparkSession, sf: str) -> DataFrame:
