@@ -64,6 +64,15 @@ def test_kernel_feed_sets_and_scores(spark):
     assert got == {(2, "C-2", "changed"), (2, "C-3", "added")}
 
 
+def test_intervals_that_move_between_ranges_and_broad(spark):
+    schema = "row_id bigint, snap_no int, id string, ranges array<struct<lo:string,hi:string>>, broad array<struct<lo:string,hi:string>>, mainline struct<lo:string,hi:string>, sev string, score double, summary string, loaded_at timestamp"
+    t, a, b = datetime(2025, 1, 1), ("1", "2"), ("3", "4")
+    pairs = {"ALL": (([a], []), ([], [a])), "SPLIT": (([a], [b]), ([a, b], [])), "BACK": (([], [a, b]), ([a], [b])), "NULL": (([a], None), (None, [a])), "SAME": (([a], [b]), ([a], [b]))}
+    rows = [(0, snap, name, *states[snap - 1], ("", ""), "LOW", 1.0, "", t) for name, states in pairs.items() for snap in (1, 2)]
+    got = {(r.snap_no, r.id, r.change) for r in snapshots.kernel_feed_changes(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(2, name, "changed") for name in pairs if name != "SAME"}
+
+
 def brute_events(raw_id, body):
     """Events of a body by plain loops over the decoded JSON."""
     many = lambda x: x if isinstance(x, list) else [] if x is None else [x]

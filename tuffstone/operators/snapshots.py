@@ -43,7 +43,8 @@ def snapshot_changes(
     rows = df.where(F.col(snap).isNotNull()).select(
         *[c.alias(k) for k, c in keys.items()],
         F.array_position(snaps, F.col(snap).cast("int")).cast("int").alias("__at"),
-        F.xxhash64(*content).alias("__hash"),
+        # A hash of several arrays doesn't tell where one ends and the next begins, so each column has its own.
+        F.xxhash64(*[F.xxhash64(c) for c in content]).alias("__hash"),
         rank.alias("__rank"),
     )
     last = rows.groupBy(*keys, "__at").agg(F.max_by("__hash", "__rank").alias("__hash"))
