@@ -33,6 +33,19 @@ def test_blocks_of_the_index_agree(spark):
     assert whole == parts
 
 
+def test_many_blocks_give_the_rows_of_one(spark):
+    components, entries = frames(spark)
+    # Names that are exact in one block and a typing error away in others, entities of several lengths and makers.
+    more = [("acme", "rocket_agents"), ("borax-labs", "roket_agent"), ("zeta", "netmonx"), ("third", "netmon"), ("acme", "mon"), ("zeta", "lib-libvulcan"), ("acme", "vulcan"), *[(f"maker{i}", f"thing{i % 7}") for i in range(40)]]
+    entries = entries.unionByName(spark.createDataFrame(more, "vendor string, product string"))
+    names = ["rocket agents", "roket agent", "netmonx", "acme mon", "thing3", "thing33", "maker9 thing2 dev", "liblibvulcan", "vulcan"]
+    extra = [(9000 + i, n, "origin maker3" if i % 2 else None, None, None, 0.0) for i, n in enumerate(names)]
+    components = components.unionByName(spark.createDataFrame(extra, components.schema))
+    whole, parts = ({(r.comp_id, r.vendor, r.product): r.confidence for r in k.matches(components, entries, block=b).collect()} for b in (30_000, 10))
+    assert whole.keys() == parts.keys() and any(n >= 9000 for n, *_ in whole)
+    assert all(abs(whole[m] - parts[m]) < 1e-9 for m in whole)
+
+
 def test_nothing(spark):
     components, entries = frames(spark, 1)
     assert k.matches(components.limit(0), entries).count() == 0

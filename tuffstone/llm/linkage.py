@@ -13,17 +13,19 @@ Records are scored where they lie: no shuffle and no join, only the index travel
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuffstone.runtime import spread
+from tuffstone.runtime import cut, spread
 
 # Words at the end of a maker's name that tell its legal form or kind.
 MAKER_WORDS = ("incorporated", "foundation", "software", "networks", "systems", "project", "devices", "limited", "works", "group", "gmbh", "labs", "corp", "inc", "ltd", "llc")
@@ -138,16 +140,22 @@ class Index:
         if got is None:
             if len(self.read) > 300_000:
                 self.read.clear()
-            self.read[name] = got = self._products(words(name))
+            self.read[name] = got = chosen([self.lookup(name)])
         return got
 
-    def _products(self, all_words: list[str]) -> list[tuple[str, float, str]]:
+    def lookup(self, name: str) -> tuple[int, list[tuple[str, bool, str, str, float]]]:
+        """(stage, hits) of the first stage in which this index knows a form of the name.
+
+        Stages are all words (0), without part words (1) and one typing error (2); a hit is (form, whether the
+        form itself is a key, product key, maker told by the name, similarity).
+        """
+        all_words = words(name)
         if not all_words:
-            return []
+            return 0, []
         if len(all_words) > self.most_words:
             all_words = ["".join(all_words)]
-        found: dict[tuple[str, str], float] = {}
-        for parts, cost in ((all_words, 0.0), (_core(all_words), 0.0)):
+        hits = []
+        for stage, parts in enumerate((all_words, _core(all_words))):
             for k in range(len(parts)):
                 rest, maker = parts[k:], maker_key("".join(parts[:k]))
                 if k and len(maker) < 3:
@@ -161,60 +169,77 @@ class Index:
                 if len(stem) > 1 and stem[0] in CLIPPED:
                     forms.append(("".join([*stem[1:], CLIPPED[stem[0]]]), 0.9))
                 for form, similar in forms:
-                    key = form if form in self.makers else product_key(form)
+                    plain = form in self.makers
+                    key = form if plain else product_key(form)
                     if key in self.makers:
-                        found[key, maker] = max(found.get((key, maker), 0.0), similar - cost)
-            if found:
-                break
-        if not found:
-            stem = _core(all_words)
-            for k in range(len(stem)):
-                maker = maker_key("".join(stem[:k]))
-                forms = {"".join(stem[k:])}
-                if stem[-1] in CLIPPED and len(stem) - k > 1:
-                    forms.add("".join([*stem[k:-1], CLIPPED[stem[-1]]]))
-                if stem[k] in ROLES and len(stem) - k > 1:
-                    forms.add("".join([*stem[k + 1 :], stem[k]]))
-                for form in forms:
-                    if self.shortest <= len(form) <= self.longest + 1:
-                        for d in deletions(form):
-                            for product in self.typos.get(d, ()):
-                                if near(form, product):
-                                    found[product, maker] = max(found.get((product, maker), 0.0), 0.85)
-        best: dict[str, tuple[float, str]] = {}
-        for (product, maker), similar in found.items():
-            if product not in best or (similar, -len(maker)) > (best[product][0], -len(best[product][1])):
-                best[product] = (similar, maker)
-        longest = max((len(p) for p in best), default=0)
-        return [(p, s, m) for p, (s, m) in sorted(best.items()) if len(p) == longest or s == 1.0 and not m]
+                        hits.append((form, plain, key, maker, similar))
+            if hits:
+                return stage, hits
+        stem = _core(all_words)
+        for k in range(len(stem)):
+            maker = maker_key("".join(stem[:k]))
+            forms = {"".join(stem[k:])}
+            if stem[-1] in CLIPPED and len(stem) - k > 1:
+                forms.add("".join([*stem[k:-1], CLIPPED[stem[-1]]]))
+            if stem[k] in ROLES and len(stem) - k > 1:
+                forms.add("".join([*stem[k + 1 :], stem[k]]))
+            for form in forms:
+                if self.shortest <= len(form) <= self.longest + 1:
+                    for product in {product for d in deletions(form) for product in self.typos.get(d, ())}:
+                        if near(form, product):
+                            hits.append((form, True, product, maker, 0.85))
+        return 2, hits
 
     def candidates(self, name: str | None, evidence: str | None, cpe: str | None, fork: str | None) -> list[tuple[tuple[str, str], tuple[float, float, float]]]:
         """Entities a record may mean, each with its similarity vector (name, maker, platform identifier)."""
-        if not name:
-            return []
-        products = self.products(name)
-        if not products:
-            return []
-        told = MAKER_IN_EVIDENCE.search(evidence) if evidence else None
-        by_evidence = maker_key(told[1]) if told else ""
-        by_fork = maker_key(re.sub(r"(?i)\s*sdk\s*$", "", fork)) if fork else ""
-        spec = CPE.match(cpe.strip()) if cpe else None
-        cpe_maker, cpe_product = (maker_key(spec[1]), product_key(spec[2])) if spec else ("", "")
-        out = []
-        for product, similar, by_name in products:
-            for maker in sorted(self.makers[product]):
-                hints = [h for h in (by_evidence, by_fork, by_name) if h]
-                agrees = SILENT if not hints else sum(1.0 if h == maker else 0.8 if len(h) > 5 and near(h, maker) else 0.0 for h in hints) / len(hints)
-                if not spec:
-                    platform = SILENT
-                elif cpe_product != product:
-                    platform = SILENT - 0.1
-                elif not cpe_maker:
-                    platform = SILENT + 0.15
-                else:
-                    platform = 1.0 if cpe_maker == maker else 0.0
-                out.append(((maker, product), (similar, round(agrees, 2), platform)))
-        return out
+        products = self.products(name) if name else []
+        return compared([(product, similar, by_name, self.makers[product]) for product, similar, by_name in products], evidence, cpe, fork)
+
+
+def chosen(found: list[tuple[int, list[tuple[str, bool, str, str, float]]]]) -> list[tuple[str, float, str]]:
+    """The products a name may mean of what ``Index.lookup`` gives for it in all blocks of the index.
+
+    The first stage in which any block knows the name counts, a form that is a key itself stands for no other
+    key, and of the products the longest are taken: one block or many give the same.
+    """
+    stage = min((stage for stage, hits in found if hits), default=0)
+    hits = [hit for at, part in found if at == stage for hit in part]
+    keys = {form for form, plain, *_ in hits if plain}
+    best: dict[str, tuple[float, str]] = {}
+    for form, plain, product, maker, similar in hits:
+        if not plain and form in keys:
+            continue
+        # Of equal ones the shortest maker, then the first in order.
+        if product not in best or (-similar, len(maker), maker) < (-best[product][0], len(best[product][1]), best[product][1]):
+            best[product] = (similar, maker)
+    longest = max((len(p) for p in best), default=0)
+    return [(p, s, m) for p, (s, m) in sorted(best.items()) if len(p) == longest or s == 1.0 and not m]
+
+
+def compared(products: list[tuple[str, float, str, Iterable[str]]], evidence: str | None, cpe: str | None, fork: str | None) -> list[tuple[tuple[str, str], tuple[float, float, float]]]:
+    """The entities of ``products``, (product key, name similarity, maker told by the name, makers), with their vectors."""
+    if not products:
+        return []
+    told = MAKER_IN_EVIDENCE.search(evidence) if evidence else None
+    by_evidence = maker_key(told[1]) if told else ""
+    by_fork = maker_key(re.sub(r"(?i)\s*sdk\s*$", "", fork)) if fork else ""
+    spec = CPE.match(cpe.strip()) if cpe else None
+    cpe_maker, cpe_product = (maker_key(spec[1]), product_key(spec[2])) if spec else ("", "")
+    out = []
+    for product, similar, by_name, makers in products:
+        for maker in sorted(makers):
+            hints = [h for h in (by_evidence, by_fork, by_name) if h]
+            agrees = SILENT if not hints else sum(1.0 if h == maker else 0.8 if len(h) > 5 and near(h, maker) else 0.0 for h in hints) / len(hints)
+            if not spec:
+                platform = SILENT
+            elif cpe_product != product:
+                platform = SILENT - 0.1
+            elif not cpe_maker:
+                platform = SILENT + 0.15
+            else:
+                platform = 1.0 if cpe_maker == maker else 0.0
+            out.append(((maker, product), (similar, round(agrees, 2), platform)))
+    return out
 
 
 @dataclass
@@ -263,35 +288,104 @@ def fit(patterns: list[tuple[list[tuple[float, ...]], int]], rounds: int = 40, r
     return model
 
 
-def _index_blocks(entries: DataFrame, block: int) -> list[list[tuple[str, str]]]:
+def _index_blocks(entries: DataFrame, block: int) -> Iterator[list[tuple[str, str]]]:
     """Distinct (vendor, product) pairs in blocks of about ``block``."""
     pairs = entries.select("vendor", "product").where("vendor is not null and product is not null").distinct()
     blocks = int(pairs.count() // block) + 1
     parts = [pairs] if blocks == 1 else [pairs.where(F.pmod(F.xxhash64("vendor", "product"), F.lit(blocks)) == b) for b in range(blocks)]
-    return [[(r.vendor, r.product) for r in part.collect()] for part in parts]
+    for part in parts:
+        yield [(r.vendor, r.product) for r in part.collect()]
 
 
 _READ = ["name", "evidence", "cpe", "fork"]
 
 
+def _named(components: DataFrame, *more: str) -> DataFrame:
+    return components.select(*more, *_READ).where("name is not null")
+
+
+def _meant(records: DataFrame, first: Broadcast, rest: Iterable[Broadcast]) -> DataFrame:
+    """``records`` that mean any product, with ``entities``: the products of their name over all blocks of the index.
+
+    Each distinct name is looked up in each block; what the blocks know is put together by name, so a record
+    sees the candidates it would see in one index.
+    """
+    names = cut(records.select("name").distinct())
+    parts = []
+    for sent in (first, *rest):
+
+        def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value)
+            for batch in batches:
+                got = [(name, *index.lookup(name)) for name in batch.column("name").to_pylist()]
+                told = []
+                for name, stage, hits in got:
+                    if hits:
+                        entities = {key: [(m, index.spellings[m, key]) for m in index.makers[key]] for _, _, key, _, _ in hits}
+                        told.append((name, json.dumps([stage, hits, entities])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([n for n, _ in told], [t for _, t in told])], ["name", "told"])
+
+        parts.append(spread(names).mapInArrow(look, "name string, told string"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for told in batch.column("told").to_pylist():
+                blocks = [json.loads(t) for t in told]
+                makers: dict[str, dict[str, set]] = defaultdict(lambda: defaultdict(set))
+                for _, _, entities in blocks:
+                    for product, known in entities.items():
+                        for maker, spellings in known:
+                            makers[product][maker].update(map(tuple, spellings))
+                products = chosen([(stage, hits) for stage, hits, _ in blocks])
+                out.append(json.dumps([(*p, [(m, sorted(v)) for m, v in sorted(makers[p[0]].items())]) for p in products]))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.string())], ["name", "entities"])
+
+    told = parts[0]
+    for part in parts[1:]:
+        told = told.unionByName(part)
+    by_name = told.groupBy("name").agg(F.collect_list("told").alias("told"))
+    return records.join(cut(by_name.mapInArrow(join, "name string, entities string")), "name")
+
+
+def _candidates(batch: pa.RecordBatch, index: Index | None, parsed: dict[str, tuple]) -> Iterator[tuple[list, dict]]:
+    """(candidates, spellings by entity) of each row: by ``index``, or by the column ``entities`` if there is none."""
+    rows = zip(*(batch.column(c).to_pylist() for c in _READ), strict=True)
+    if index is not None:
+        for row in rows:
+            yield index.candidates(*row), index.spellings
+        return
+    for entities, (_, evidence, cpe, fork) in zip(batch.column("entities").to_pylist(), rows, strict=True):
+        if entities not in parsed:
+            if len(parsed) > 10_000:
+                parsed.clear()
+            products = json.loads(entities)
+            parsed[entities] = [(p, s, m, [k for k, _ in makers]) for p, s, m, makers in products], {(k, p): v for p, _, _, makers in products for k, v in makers}
+        products, spellings = parsed[entities]
+        yield compared(products, evidence, cpe, fork), spellings
+
+
 def fit_mixture(components: DataFrame, pairs: list[tuple[str, str]], max_patterns: int = 50_000) -> Mixture:
+    """``Mixture`` of the candidate vectors of all records against the entities of ``pairs``."""
+    return _fit_records(_named(components), components.sparkSession.sparkContext.broadcast(pairs), max_patterns)
+
+
+def _fit_records(records: DataFrame, sent: Broadcast | None, max_patterns: int = 50_000) -> Mixture:
     """``Mixture`` of the candidate vectors of all records, folded to patterns in each task.
 
     Vectors lie on a coarse grid, so there are few patterns however many records there are; were there more
     than ``max_patterns``, the model is fitted on the most frequent ones and all records are scored by it.
     """
-    sent = components.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, seen = Index(sent.value), Counter()
+        index, parsed, seen = sent and Index(sent.value), {}, Counter()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in _READ), strict=True):
-                got = index.candidates(*row)
+            for got, _ in _candidates(batch, index, parsed):
                 if got:
                     seen[";".join(sorted(",".join(map(str, v)) for _, v in got))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    folded = spread(components.select(*_READ).where("name is not null")).mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    folded = spread(records).mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
     rows = folded.orderBy(F.desc("n"), "pattern").limit(max_patterns).collect()
     return fit([([tuple(map(float, v.split(","))) for v in r.pattern.split(";")], r.n) for r in rows])
 
@@ -305,44 +399,35 @@ def matches(components: DataFrame, entries: DataFrame, least: float = 0.5, block
     ``confidence`` is the posterior of the match and exceeds ``least``. Records without a name match nothing;
     other empty fields only lack evidence. A record delivered twice is matched twice, repeated advisory
     rows change nothing. The index is broadcast in blocks of about ``block`` spellings; with more than one
-    block the odds of a record's candidates are summed over all blocks before they become posteriors.
+    block the products of each name are put together over all blocks before records are compared with them,
+    for the fit as for the matches, so the number of blocks doesn't change the result.
     """
-    blocks = _index_blocks(entries, block)
-    if model is None:
-        model = fit_mixture(components, max(blocks, key=len))
     context = components.sparkSession.sparkContext
-    parts = []
-    for pairs in blocks:
-        sent = context.broadcast((pairs, model))
+    first, *rest = (context.broadcast(pairs) for pairs in _index_blocks(entries, block))
+    records, sent = _named(components, "comp_id"), None if rest else first
+    if rest:
+        records = _meant(records, first, rest)
+    if model is None:
+        model = _fit_records(records, sent)
+    mixture = context.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, alone=len(blocks) == 1) -> Iterator[pa.RecordBatch]:
-            index, mixture = Index(sent.value[0]), sent.value[1]
-            known: dict[tuple, float] = {}
-            for batch in batches:
-                out: list[list] = [[], [], [], []]
-                for comp_id, *row in zip(*(batch.column(c).to_pylist() for c in ("comp_id", *_READ)), strict=True):
-                    got = index.candidates(*row)
-                    for _, v in got:
-                        if v not in known:
-                            known[v] = float(mixture.odds(np.array([v]))[0])
-                    total = 1 + sum(known[v] for _, v in got)
-                    for entity, v in got:
-                        share = known[v] / total if alone else known[v]
-                        if share > (least if alone else 0.0):
-                            for vendor, product in index.spellings[entity]:
-                                for column, value in zip(out, (comp_id, vendor, product, share), strict=True):
-                                    column.append(value)
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in MATCH.split(", ")])
-
-        parts.append(spread(components.select("comp_id", *_READ).where("name is not null")).mapInArrow(run, MATCH))
-    if len(parts) == 1:
-        return parts[0]
-    odds = parts[0]
-    for part in parts[1:]:
-        odds = odds.unionByName(part)
-    # Spellings of one entity carry the same odds and count once.
-    maker, product = (F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in ("vendor", "product"))
-    one = odds.groupBy("comp_id", maker.alias("m"), product.alias("p")).agg(F.max("confidence").alias("odds"))
-    total = one.groupBy("comp_id").agg(F.sum("odds").alias("total"))
-    return odds.join(total, "comp_id").withColumn("confidence", F.col("confidence") / (1 + F.col("total"))).drop("total").where(F.col("confidence") > least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, parsed = sent and Index(sent.value), {}
+        known: dict[tuple, float] = {}
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for comp_id, (got, spellings) in zip(batch.column("comp_id").to_pylist(), _candidates(batch, index, parsed), strict=True):
+                for _, v in got:
+                    if v not in known:
+                        known[v] = float(mixture.value.odds(np.array([v]))[0])
+                total = 1 + sum(known[v] for _, v in got)
+                for entity, v in got:
+                    share = known[v] / total
+                    if share > least:
+                        for vendor, product in spellings[entity]:
+                            for column, value in zip(out, (comp_id, vendor, product, share), strict=True):
+                                column.append(value)
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in MATCH.split(", ")])
+
+    return spread(records).mapInArrow(run, MATCH)
