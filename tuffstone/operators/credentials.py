@@ -93,7 +93,7 @@ def is_default_value(value: str) -> bool:
 def judge(key: str, value: str, numeric: bool) -> tuple[str, int, str | None] | None:
     """(type, tier, encoding) of a named configuration value that is a credential."""
     name = re.sub(r"[^a-z0-9]", "", key.lower())
-    if not (name in PIN_KEYS or name in TOKEN_KEYS) or not value.strip() or len(value) > 4096 or is_default_value(value):
+    if not (name in PIN_KEYS or name in TOKEN_KEYS) or not value.strip() or is_default_value(value):
         return None
     open_text = None if numeric else _decoded(value)
     if open_text and is_default_value(open_text[1]):
@@ -107,15 +107,15 @@ def judge(key: str, value: str, numeric: bool) -> tuple[str, int, str | None] |
     return kind, 80 if open_text else 60, open_text and open_text[0]
 
 
-def scan_config(path: str | None, text: str, most: int = 256) -> list[tuple]:
-    """``FINDING`` tuples of one JSON document, in document order."""
+def scan_config(path: str | None, text: str) -> list[tuple]:
+    """``FINDING`` tuples of one JSON document, in document order; every field of it is judged."""
     try:
         root = json.loads(text)
     except (ValueError, RecursionError):
         return []
     rows: list[tuple] = []
     stack: list[tuple[str, str, object]] = [("", "", root)]
-    while stack and len(rows) < most:
+    while stack:
         at, key, value = stack.pop()
         if isinstance(value, dict):
             stack += [(f"{at}.{k}" if at else k, k, v) for k, v in reversed(value.items())]
@@ -136,14 +136,14 @@ def scan_config(path: str | None, text: str, most: int = 256) -> list[tuple]:
 
 
 def config_credentials(files: DataFrame) -> DataFrame:
-    """``FINDING`` rows of the JSON documents of up to 1 MiB among ``files(path, content string)``."""
+    """``FINDING`` rows of the JSON documents of any size among ``files(path, content string)``."""
     keys = "|".join(sorted({*PIN_KEYS, *TOKEN_KEYS}))
     loose = F.regexp_replace(F.lower("content"), r"[^a-z0-9\"]", "")
-    small = files.where(F.octet_length("content") <= 1 << 20).where(F.col("content").rlike(r"^[ \t\r\n]*[{\[]")).where(loose.rlike(f'(?:{keys})"'))
+    likely = files.where(F.col("content").rlike(r"^[ \t\r\n]*[{\[]")).where(loose.rlike(f'(?:{keys})"'))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)
             yield finding_batch([f for path, text in pairs for f in scan_config(path, text)])
 
-    return small.select("path", "content").mapInArrow(run, FINDING)
+    return likely.select("path", "content").mapInArrow(run, FINDING)
