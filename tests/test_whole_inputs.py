@@ -1,10 +1,12 @@
 """Inputs beyond the limits of the reference are worked on whole."""
 
+import base64
 import json
 
 from pyspark.sql import functions as F
 
-from tuffstone.operators import credentials
+from tuffstone.operators import credentials, keys
+from tuffstone.plans import key_queries
 
 
 def test_configs_of_any_size(spark):
@@ -13,3 +15,14 @@ def test_configs_of_any_size(spark):
     df = spark.createDataFrame([("pins", json.dumps(pins)), ("long", json.dumps(long))], "path string, content string")
     got = credentials.config_credentials(df)
     assert {r.path: r.n for r in got.groupBy("path").agg(F.count("*").alias("n")).collect()} == {"pins": 301, "long": 1}
+
+
+def test_keys_anywhere_in_a_file(spark):
+    n = key_queries.prime(256, 1) * key_queries.prime(256, 2)
+    pem = key_queries.pem("PUBLIC KEY", key_queries.spki(n, 65537))
+    fields = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-rsa", b"\1\0\1", n.to_bytes(64, "big")))
+    far = b"\0" * (8 << 20) + b"\n" + pem + b"ssh-rsa " + base64.b64encode(fields) + b" me\n"
+    bundle = key_queries.pem("OTHER", b"0123456789abcdef") * 4096 + pem
+    df = spark.createDataFrame([("far", bytearray(far)), ("bundle", bytearray(bundle))], "path string, content binary")
+    got = {(r.path, r.origin, r.offset) for r in keys.extract_keys(df).collect()}
+    assert got == {("far", "public-key", (8 << 20) + 1), ("far", "ssh-public-key", (8 << 20) + 1 + len(pem)), ("bundle", "public-key", len(bundle) - len(pem))}

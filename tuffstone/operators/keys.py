@@ -173,13 +173,10 @@ def pkcs7_certificate(data: bytes) -> bytes | None:
     return None
 
 
-def public_keys(data: bytes, most: int = 4096, text_bytes: int = 8 << 20) -> list[dict]:
+def public_keys(data: bytes) -> list[dict]:
     """Keys of one file by offset: PEM blocks, SSH lines, a whole-file certificate or key, EFI lists; each once."""
     found: list[dict] = []
-    text = data[:text_bytes]
-    for k, m in enumerate(PEM.finditer(text)):
-        if k >= most:
-            break
+    for m in PEM.finditer(data):
         kind = m[1].decode()
         body = re.sub(rb"(?m)^[A-Za-z0-9-]+:.*$", b"", m[2])
         try:
@@ -199,7 +196,7 @@ def public_keys(data: bytes, most: int = 4096, text_bytes: int = 8 << 20) -> lis
             got = None
         if got and got.get("algo"):
             found.append({"origin": "public-key"} | got | {"offset": m.start()})
-    for m in SSH.finditer(text):
+    for m in SSH.finditer(data):
         try:
             bare = m[2].rstrip(b"=")
             got = read_ssh(base64.b64decode(bare + b"=" * (-len(bare) % 4)))
