@@ -1,12 +1,13 @@
 """Inputs beyond the limits of the reference are worked on whole."""
 
 import base64
+import gzip
 import json
 
 from pyspark.sql import functions as F
 
-from tuffstone.operators import credentials, keys
-from tuffstone.plans import key_queries
+from tuffstone.operators import boot, credentials, kallsyms, kernel, keys
+from tuffstone.plans import boot_queries, kernel_queries, key_queries
 
 
 def test_configs_of_any_size(spark):
@@ -26,3 +27,15 @@ def test_keys_anywhere_in_a_file(spark):
     df = spark.createDataFrame([("far", bytearray(far)), ("bundle", bytearray(bundle))], "path string, content binary")
     got = {(r.path, r.origin, r.offset) for r in keys.extract_keys(df).collect()}
     assert got == {("far", "public-key", (8 << 20) + 1), ("far", "ssh-public-key", (8 << 20) + 1 + len(pem)), ("bundle", "public-key", len(bundle) - len(pem))}
+
+
+def test_kernel_images_of_any_size(spark):
+    image = kernel_queries.symbol_blob(kernel_queries.SYMBOLS)
+    df = spark.sql(f"select 'vmlinux' as path, concat(X'{image.hex()}', cast(repeat(' ', {64 << 20}) as binary)) as content")
+    assert kallsyms.kernel_symbols(df).where("complete").count() == len(kernel_queries.SYMBOLS)
+    config = b"CONFIG_A=y\n" * (3 << 20) + b"CONFIG_LAST=y\n"
+    text = kernel.read_ikconfig(b"IKCFG_ST" + gzip.compress(config) + b"IKCFG_ED")
+    assert len(text) == len(config) and text.endswith("CONFIG_LAST=y\n")
+    plain = boot_queries.store([(boot.GLOBAL, "SecureBoot", b"\1")])
+    firmware = b"\xff" * (64 << 20) + b"_FVH" + plain
+    assert ("uefi", "SecureBoot", None, 1) in [(f[0], f[1], f[2], int.from_bytes(f[3], "little") if isinstance(f[3], bytes) else f[3]) for f in boot.decode("bios.bin", firmware)]

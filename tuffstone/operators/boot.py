@@ -305,7 +305,7 @@ def decode(path: str, data: bytes) -> list[tuple]:
         return avb_facts(data)
     if data[:4] == b"\xd0\x0d\xfe\xed":
         return fdt_facts(data)
-    facts = uefi_facts(data) if data[:16] in (AUTH_STORE, PLAIN_STORE) or data[:4] == b"NVAR" or data.find(b"_FVH", 0, 64 << 20) >= 0 else []
+    facts = uefi_facts(data) if data[:16] in (AUTH_STORE, PLAIN_STORE) or data[:4] == b"NVAR" or b"_FVH" in data else []
     facts = facts or (siglist_facts(data) if data[:16] in SIGNATURES else []) or certificate_facts(name, data)
     return facts or [("env", k, v, None) for k, v in env_region(data)]
 

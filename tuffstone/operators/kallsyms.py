@@ -129,8 +129,8 @@ def _table(data: bytes, marks_end: int, tokens: list[bytes], order: str, width:
     return None
 
 
-def kernel_symbols(files: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """``(path, symbol, complete)`` of kernel images of less than ``most_bytes`` in ``files(path, content binary)``."""
+def kernel_symbols(files: DataFrame) -> DataFrame:
+    """``(path, symbol, complete)`` of the kernel images of any size in ``files(path, content binary)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,5 +138,5 @@ def kernel_symbols(files: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
                 names, complete = decode(data)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([complete] * len(names), pa.bool_())], ["path", "symbol", "complete"])
 
-    image = files.where(F.octet_length("content") < most_bytes).where(F.decode("content", "ISO-8859-1").contains("Linux version "))
+    image = files.where(F.decode("content", "ISO-8859-1").contains("Linux version "))
     return image.select("path", "content").mapInArrow(run, "path string, symbol string, complete boolean")

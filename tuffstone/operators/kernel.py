@@ -178,12 +178,12 @@ def hardening(configs: DataFrame) -> DataFrame:
     return configs.where("content <> ''").select("path", F.explode(F.array(*items)).alias("h")).select("path", "h.*")
 
 
-def read_ikconfig(data: bytes, most: int = 32 << 20) -> str | None:
+def read_ikconfig(data: bytes) -> str | None:
     """The configuration embedded in a kernel image between its start mark and a gzip stream; None for none."""
-    at = data.find(b"IKCFG_ST")
+    at, view = data.find(b"IKCFG_ST"), memoryview(data)
     while at >= 0:
         try:
-            text = zlib.decompressobj(31).decompress(data[at + 8 :], most)
+            text = zlib.decompressobj(31).decompress(view[at + 8 :])
             if text:
                 return text.decode("utf-8", "replace")
         except zlib.error:
