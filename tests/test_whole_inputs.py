@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tuffstone.operators import boot, credentials, kallsyms, kernel, keys
+from tuffstone.operators import boot, credentials, kallsyms, kernel, keys, licenses
 from tuffstone.plans import boot_queries, kernel_queries, key_queries
 
 
@@ -39,3 +39,8 @@ def test_kernel_images_of_any_size(spark):
     plain = boot_queries.store([(boot.GLOBAL, "SecureBoot", b"\1")])
     firmware = b"\xff" * (64 << 20) + b"_FVH" + plain
     assert ("uefi", "SecureBoot", None, 1) in [(f[0], f[1], f[2], int.from_bytes(f[3], "little") if isinstance(f[3], bytes) else f[3]) for f in boot.decode("bios.bin", firmware)]
+
+
+def test_license_markers_anywhere(spark):
+    df = spark.sql(f"select 'NOTICE' as path, concat(repeat('x', {16 << 20}), ' Permission is hereby granted, free of charge') as content")
+    assert [tuple(r) for r in licenses.file_licenses(df).collect()] == [("NOTICE", "MIT", 80)]

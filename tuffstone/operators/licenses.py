@@ -67,14 +67,14 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def file_licenses(files: DataFrame, prefix: int = 16 << 20) -> DataFrame:
+def file_licenses(files: DataFrame) -> DataFrame:
     """(path, license, confidence): tags of any file (95), markers of files on a license path (80).
 
-    Each license stands once per path, the tag before the marker; markers are sought in the first
-    ``prefix`` characters. Null content gives none.
+    Each license stands once per path, the tag before the marker; markers are sought in the whole
+    content, as by ``license_docs``. Null content gives none.
     """
     tags = files.select("path", F.explode(spdx_tags(F.col("content"))).alias("license"), F.lit(95).alias("confidence"))
-    texts = files.where(is_license_path(F.col("path"))).select("path", F.explode(text_markers(F.substring("content", 1, prefix))).alias("license"), F.lit(80).alias("confidence"))
+    texts = files.where(is_license_path(F.col("path"))).select("path", F.explode(text_markers(F.col("content"))).alias("license"), F.lit(80).alias("confidence"))
     return tags.unionByName(texts).groupBy("path", "license").agg(F.max("confidence").alias("confidence"))
 
 
