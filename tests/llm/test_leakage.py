@@ -64,3 +64,30 @@ def test_suffix_array_and_matches_against_loops():
     text = [items.vocabulary[w] for w in "a b c d a a b c c a".split()]
     got = sorted(zip(*(x.tolist() for x in k.matches(np.array(text, np.int32), items)), strict=True))
     assert got == sorted([(0, 0, 5), (5, 0, 3), (7, 7, 3)])
+
+
+def test_a_poor_longer_cover_hides_no_sound_one(spark):
+    item = [f"v{i}" for i in range(60)]
+    part = lambda a, b, swaps: ["other" if i in swaps else item[i] for i in range(a, b)]
+    good, poor = part(0, 34, {8, 16, 24}), part(34, 60, {39, 41, 43, 50, 52, 54})
+    docs = [(1, good + ["between", "them"] + poor), (2, good + poor), (3, poor + good), (4, part(0, 28, {8, 16}) + ["between"] + part(28, 60, set(range(30, 60, 4)))), (5, good)]
+    df = spark.createDataFrame([(n, " ".join(d)) for n, d in docs], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in k.leaks(df, spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).collect()}
+    assert {1, 2, 3, 5} <= got.keys()
+    assert all(r[2] >= 30 and r[5] <= 0.13 * r[2] for r in got.values())
+
+
+def test_sound_cover_against_loops():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        item = np.arange(1, 15)
+        cut, gap = int(r.integers(3, 12)), int(r.integers(0, 3))
+        doc = np.concatenate([item[:cut], np.full(gap, 99), item[cut:]])
+        doc[r.random(len(doc)) < 0.25] = 99
+        diagonals = np.unique([0, gap])
+        pieces = k._pieces(doc, item, diagonals, 2.0)
+        parts = [(i, j, c + i - a, int((doc[c + i - a : c + j - a] != item[i:j]).sum())) for a, b, c, _ in pieces for i in range(a, b) for j in range(i + 1, b + 1) if doc[c + i - a] == item[i] and doc[c + j - 1 - a] == item[j - 1]]
+        covers = [(p[1] - p[0], p[3]) for p in parts] + [(p[1] - p[0] + q[1] - q[0], p[3] + q[3]) for p in parts for q in parts if q[0] >= p[1] and q[2] >= p[2] + p[1] - p[0] and q[2] - q[0] != p[2] - p[0]]
+        want = max((n for n, m in covers if m <= 0.13 * n), default=0)
+        got = k.sound_cover(doc, item, diagonals, 2.0, 0.13)
+        assert got[0] == want and got[1] <= 0.13 * got[0]

@@ -181,6 +181,60 @@ def best_cover(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, penalty
     return best
 
 
+def _longest(same: np.ndarray, most: int) -> np.ndarray:
+    """[m, t]: words of the longest stretch before ``t`` that begins and ends with a match and has up to m others."""
+    n, other = len(same), np.flatnonzero(~same)
+    ends, so_far = np.flatnonzero(same) + 1, np.cumsum(~same)
+    following = np.append(np.minimum.accumulate(np.where(same, np.arange(n), n)[::-1])[::-1], n)
+    out = np.zeros((most + 1, n + 1), np.int64)
+    for m in range(most + 1):
+        k = so_far[ends - 1] - m - 1
+        begin = np.where(k >= 0, other[np.maximum(k, 0)] + 1, 0) if len(other) else np.zeros(len(ends), np.int64)
+        out[m, ends] = ends - following[begin]
+    return np.maximum.accumulate(out, axis=1)
+
+
+def sound_cover(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, penalty: float, replaced: float) -> tuple[int, int, int, int]:
+    """``best_cover`` among the parts of pieces of which at most ``replaced`` words are replaced.
+
+    Exact, in the square of the replaced words times the item's words for each pair of pieces; needed only
+    where the longest cover has too many replaced words.
+    """
+    pieces = _pieces(doc, item, diagonals, penalty)
+    same = [doc[p[2] : p[2] + p[1] - p[0]] == item[p[0] : p[1]] for p in pieces]
+    front = [_longest(x, p[3]) for x, p in zip(same, pieces, strict=True)]
+    back = [_longest(x[::-1], p[3]) for x, p in zip(same, pieces, strict=True)]
+    best = (0, 0, 0, 0)
+    for p, x, rows in zip(pieces, same, front, strict=True):
+        for m in range(p[3], -1, -1):
+            covered = int(rows[m, -1])
+            if m <= replaced * covered:
+                if covered > best[0]:
+                    at = int(np.searchsorted(rows[m], covered)) - covered
+                    best = (covered, int((~x[at : at + covered]).sum()), 1, p[2] + at)
+                break
+    for a, x, rows in zip(pieces, same, front, strict=True):
+        for b, y, tails in zip(pieces, same, back, strict=True):
+            shift = (a[2] - a[0]) - (b[2] - b[0])
+            matched = a[1] - a[0] - a[3] + b[1] - b[0] - b[3]
+            if not shift or matched <= best[0] * (1 - replaced):
+                continue
+            # The first piece ends at or before t, the second begins behind it in the item and in the document.
+            t = np.arange(a[1] - a[0] + 1)
+            left = b[1] - b[0] - np.clip(t + a[0] + max(0, shift) - b[0], 0, b[1] - b[0])
+            for m in range(a[3] + b[3], -1, -1):
+                sums = [(int((both := rows[i] + tails[m - i][left]).max()), int(both.argmax()), i) for i in range(max(0, m - b[3]), min(m, a[3]) + 1)]
+                covered, split, i = max(sums)
+                if m <= replaced * covered:
+                    if covered > best[0]:
+                        n, rest = int(rows[i, split]), int(tails[m - i, left[split]])
+                        at = int(np.searchsorted(rows[i], n)) - n
+                        to = len(y) - int(np.searchsorted(tails[m - i], rest)) + rest
+                        best = (covered, int((~x[at : at + n]).sum() + (~y[to - rest : to]).sum()), 2, a[2] + at)
+                    break
+    return best
+
+
 def search_shard(doc_ids: list, texts: list, items: Items, share: float, replaced: float, penalty: float) -> list[tuple]:
     """Rows of ``FOUND`` for one shard."""
     get = items.vocabulary.get
@@ -204,6 +258,8 @@ def search_shard(doc_ids: list, texts: list, items: Items, share: float, replace
         n = int(items.length[item[c]])
         s = items.start[item[c]]
         covered, swapped, pieces, first = best_cover(docs[doc[c]], items.words[s : s + n], np.unique(diagonal[c:end]), penalty)
+        if covered >= share * n and swapped > replaced * covered:
+            covered, swapped, pieces, first = sound_cover(docs[doc[c]], items.words[s : s + n], np.unique(diagonal[c:end]), penalty, replaced)
         if covered >= share * n and swapped <= replaced * covered:
             out.append((doc_ids[doc[c]], int(items.ids[item[c]]), covered, n, int(long[c:end].max()), swapped, pieces, first))
     return out
