@@ -46,6 +46,13 @@ def test_many_blocks_give_the_rows_of_one(spark):
     assert all(abs(whole[m] - parts[m]) < 1e-9 for m in whole)
 
 
+def test_a_fit_beyond_the_bound_leaves_no_pattern_out(spark):
+    components, _ = frames(spark, 3)
+    pairs = [(v, p) for v, p in ENTRIES if v and p]
+    whole, parts = k.fit_mixture(components, pairs), k.fit_mixture(components, pairs, max_patterns=2)
+    assert abs(whole.weight - parts.weight) < 1e-9 and abs(whole.means - parts.means).max() < 1e-9 and abs(whole.spreads - parts.spreads).max() < 1e-9
+
+
 def test_nothing(spark):
     components, entries = frames(spark, 1)
     assert k.matches(components.limit(0), entries).count() == 0

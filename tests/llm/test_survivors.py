@@ -51,6 +51,14 @@ def test_groups_against_loops(spark):
     assert all(0 < r.version_posterior <= 1 for r in got if r.version)
 
 
+def test_a_fit_beyond_the_bound_leaves_no_pattern_out(spark):
+    groups = s.duplicate_groups(spark.createDataFrame(made(500, 1), SCHEMA))
+    whole, parts = s.fit_sources(groups), s.fit_sources(groups, max_patterns=2)
+    assert whole.accuracy.keys() == parts.accuracy.keys() and whole.dependence.keys() == parts.dependence.keys()
+    assert all(abs(v - parts.accuracy[k]) < 1e-9 for k, v in whole.accuracy.items())
+    assert all(abs(v - parts.dependence[k]) < 1e-9 for k, v in whole.dependence.items())
+
+
 def test_nothing(spark):
     assert s.survivors(spark.createDataFrame([], SCHEMA)).count() == 0
     assert s.survivors(spark.createDataFrame([(1, 1, "a", None, None, None, None, None, None, None), (2, 1, "a", None, None, None, None, None, None, None)], SCHEMA)).count() == 0

@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -267,24 +267,37 @@ def fit(patterns: list[tuple[list[tuple[float, ...]], int]], rounds: int = 40, r
     expectation step the candidates of a record and the case that none matches share a mass of 1.
     Covariances are regularised by ``ridge``; the start takes each vector for the class it lies nearer to.
     """
-    x = np.array([v for vectors, _ in patterns for v in vectors], float)
+    return _fit(lambda model: _moments(model, patterns), rounds, ridge)
+
+
+def _moments(model: Mixture | None, patterns: list[tuple[list[tuple[float, ...]], int]]) -> np.ndarray:
+    """Weight, sum and square sum of vectors of either class under ``model``; moments of parts of patterns add up."""
+    x = np.array([v for vectors, _ in patterns for v in vectors], float).reshape(-1, 3)
     n = np.array([k for vectors, k in patterns for _ in vectors], float)
-    record = np.repeat(np.arange(len(patterns)), [len(vectors) for vectors, _ in patterns])
-    if not len(x):
-        return Mixture(0.5, np.array([UNMATCHED, MATCHED]), np.array([np.eye(3) * 0.05] * 2))
-    p = np.where(((x - MATCHED) ** 2).sum(1) < ((x - UNMATCHED) ** 2).sum(1), 0.95, 0.05)
+    if model is None:
+        p = np.where(((x - MATCHED) ** 2).sum(1) < ((x - UNMATCHED) ** 2).sum(1), 0.95, 0.05)
+    else:
+        record = np.repeat(np.arange(len(patterns)), [len(vectors) for vectors, _ in patterns])
+        odds = model.odds(x)
+        p = odds / (1 + np.bincount(record, odds, len(patterns))[record])
+    return np.array([[w.sum(), *(w @ x), *((x * w[:, None]).T @ x).ravel()] for w in (n * (1 - p), n * p)])
+
+
+def _fit(moments: Callable[[Mixture | None], np.ndarray], rounds: int = 40, ridge: float = 0.01) -> Mixture:
+    """``Mixture`` by rounds over the ``moments`` of all patterns under the model so far."""
     model = None
     for _ in range(rounds):
-        means, spreads = [], []
-        for w, base in ((n * (1 - p), UNMATCHED), (n * p, MATCHED)):
-            mean = (w @ x + 2 * base) / (w.sum() + 2)
-            d = x - mean
-            spreads.append((d * w[:, None]).T @ d / (w.sum() + 2) + np.eye(x.shape[1]) * ridge)
+        both, means, spreads = moments(model), [], []
+        total = both[:, 0].sum()
+        if not total:
+            return Mixture(0.5, np.array([UNMATCHED, MATCHED]), np.array([np.eye(3) * 0.05] * 2))
+        for row, base in zip(both, (UNMATCHED, MATCHED), strict=True):
+            weight, first, second = row[0], row[1:4], row[4:].reshape(3, 3)
+            mean = (first + 2 * base) / (weight + 2)
+            around = second - np.outer(first, mean) - np.outer(mean, first) + weight * np.outer(mean, mean)
+            spreads.append(around / (weight + 2) + np.eye(3) * ridge)
             means.append(mean)
-        model = Mixture(float(np.clip((n @ p) / n.sum(), 0.05, 0.95)), np.array(means), np.array(spreads))
-        odds = model.odds(x)
-        total = np.bincount(record, odds, len(patterns))
-        p = odds / (1 + total[record])
+        model = Mixture(float(np.clip(both[1, 0] / total, 0.05, 0.95)), np.array(means), np.array(spreads))
     return model
 
 
@@ -374,7 +387,7 @@ def _fit_records(records: DataFrame, sent: Broadcast | None, max_patterns: int =
     """``Mixture`` of the candidate vectors of all records, folded to patterns in each task.
 
     Vectors lie on a coarse grid, so there are few patterns however many records there are; were there more
-    than ``max_patterns``, the model is fitted on the most frequent ones and all records are scored by it.
+    than ``max_patterns``, they stay where they are and each round of the same fit sums them up in Spark.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,8 +399,25 @@ def _fit_records(records: DataFrame, sent: Broadcast | None, max_patterns: int =
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
     folded = spread(records).mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
-    rows = folded.orderBy(F.desc("n"), "pattern").limit(max_patterns).collect()
-    return fit([([tuple(map(float, v.split(","))) for v in r.pattern.split(";")], r.n) for r in rows])
+    table = cut(folded)
+    some = table.limit(max_patterns + 1).collect()
+    if len(some) <= max_patterns:
+        return fit([(_vectors(r.pattern), r.n) for r in sorted(some, key=lambda r: (-r.n, r.pattern))])
+
+    def moments(model: Mixture | None) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, 13))
+            for batch in batches:
+                total += _moments(model, [(_vectors(p), n) for p, n in zip(batch.column("pattern").to_pylist(), batch.column("n").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        return np.sum([r.sums for r in table.mapInArrow(run, "sums array<double>").collect()], axis=0).reshape(2, 13)
+
+    return _fit(moments)
+
+
+def _vectors(pattern: str) -> list[tuple[float, ...]]:
+    return [tuple(map(float, v.split(","))) for v in pattern.split(";")]
 
 
 MATCH = "comp_id bigint, vendor string, product string, confidence double"

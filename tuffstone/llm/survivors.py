@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -85,33 +85,43 @@ def fit(patterns: list[tuple[list[tuple[str, int]], int]], rounds: int = 8, prio
     A pattern lists, for one group and field, each set of sources (names joined by '|') that share a value
     and how many values they share so; its number is how many groups show it.
     """
-    names = sorted({s for values, _ in patterns for key, _ in values for s in key.split("|")})
-    model = Sources(dict.fromkeys(names, 0.8), {}, false_values, copy_rate)
+    return _fit(lambda model: _sums(model, patterns), rounds, prior, false_values, copy_rate)
+
+
+def _sums(model: Sources, patterns: Iterable[tuple[list[tuple[str, int]], int]]) -> tuple[dict, dict, dict, dict, dict]:
+    """What a round of ``fit`` needs of patterns; sums of parts of them add up."""
+    right, claims = defaultdict(float), defaultdict(float)
+    same_true, same_false, differ = defaultdict(float), defaultdict(float), defaultdict(float)
+    scores: dict[str, float] = {}
+    for values, n in patterns:
+        sets = [(key.split("|"), m, scores.setdefault(key, math.exp(min(60.0, model.score(key.split("|")))))) for key, m in values]
+        norm = sum(m * e for _, m, e in sets) + max(0.0, model.false_values + 1 - sum(m for _, m, _ in sets))
+        held: dict[str, int] = defaultdict(int)
+        for members, m, e in sets:
+            p = e / norm
+            for s in members:
+                right[s] += n * m * p
+                claims[s] += n * m
+                held[s] += m
+            for i, s in enumerate(members):
+                for t in members[i + 1 :]:
+                    pair = (min(s, t), max(s, t))
+                    same_true[pair] += n * m * p
+                    same_false[pair] += n * m * (1 - p)
+                    differ[pair] -= n * m
+        present = sorted(held)
+        for i, s in enumerate(present):
+            for t in present[i + 1 :]:
+                differ[s, t] += n * min(held[s], held[t])
+    return right, claims, same_true, same_false, differ
+
+
+def _fit(sums: Callable[[Sources], tuple], rounds: int = 8, prior: float = 0.1, false_values: int = 10, copy_rate: float = 0.8) -> Sources:
+    """``Sources`` by rounds over ``sums`` of all patterns under the model so far."""
+    model = Sources({}, {}, false_values, copy_rate)
     for _ in range(rounds):
-        right, claims = defaultdict(float), defaultdict(float)
-        same_true, same_false, differ = defaultdict(float), defaultdict(float), defaultdict(float)
-        scores: dict[str, float] = {}
-        for values, n in patterns:
-            sets = [(key.split("|"), m, scores.setdefault(key, math.exp(min(60.0, model.score(key.split("|")))))) for key, m in values]
-            norm = sum(m * e for _, m, e in sets) + max(0.0, false_values + 1 - sum(m for _, m, _ in sets))
-            held: dict[str, int] = defaultdict(int)
-            for members, m, e in sets:
-                p = e / norm
-                for s in members:
-                    right[s] += n * m * p
-                    claims[s] += n * m
-                    held[s] += m
-                for i, s in enumerate(members):
-                    for t in members[i + 1 :]:
-                        pair = (min(s, t), max(s, t))
-                        same_true[pair] += n * m * p
-                        same_false[pair] += n * m * (1 - p)
-                        differ[pair] -= n * m
-            present = sorted(held)
-            for i, s in enumerate(present):
-                for t in present[i + 1 :]:
-                    differ[s, t] += n * min(held[s], held[t])
-        model.accuracy = {s: min(0.99, max(0.05, (right[s] + 2.0) / (claims[s] + 2.5))) for s in names}
+        right, claims, same_true, same_false, differ = sums(model)
+        model.accuracy = {s: min(0.99, max(0.05, (right[s] + 2.0) / (claims[s] + 2.5))) for s in sorted(claims)}
         model.dependence = {}
         for pair in differ:
             a, b = (model.accuracy[s] for s in pair)
@@ -175,8 +185,8 @@ def fit_sources(groups: DataFrame, max_patterns: int = 100_000, **options) -> So
     """``Sources`` fitted on the agreement patterns of all ``duplicate_groups``.
 
     Patterns, not groups, come to the driver: a pattern is a list of source sets with counts, so there are
-    few of them however many rows there are. Were there more than ``max_patterns``, the model is fitted on
-    the most frequent ones; values are scored all the same.
+    few of them however many rows there are. Were there more than ``max_patterns``, they stay where they are
+    and each round of the same fit sums them up in Spark; none is left out.
     """
 
     def shape(name: str) -> Column:
@@ -185,8 +195,29 @@ def fit_sources(groups: DataFrame, max_patterns: int = 100_000, **options) -> So
 
     parts = [shape(f) for f in FIELDS]
     patterns = groups.select(F.explode(F.array(*parts)).alias("pattern")).where("pattern <> ''").groupBy("pattern").agg(F.count("*").alias("n"))
-    top = patterns.orderBy(F.desc("n"), "pattern").limit(max_patterns).collect()
-    return fit([([(v.rpartition("*")[0], int(v.rpartition("*")[2])) for v in r.pattern.split(";")], r.n) for r in top], **options)
+    some = patterns.limit(max_patterns + 1).collect()
+    if len(some) <= max_patterns:
+        return fit([(_values(r.pattern), r.n) for r in sorted(some, key=lambda r: (-r.n, r.pattern))], **options)
+    patterns = cut(patterns)
+
+    def sums(model: Sources) -> tuple[dict, dict, dict, dict, dict]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = _sums(model, [(_values(p), n) for p, n in zip(batch.column("pattern").to_pylist(), batch.column("n").to_pylist(), strict=True)])
+                rows = [(k, *(key if isinstance(key, tuple) else (key, "")), v) for k, part in enumerate(got) for key, v in part.items()]
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.float64()), strict=True)], ["k", "s", "t", "v"])
+
+        out = tuple(defaultdict(float) for _ in range(5))
+        for r in patterns.mapInArrow(run, "k int, s string, t string, v double").groupBy("k", "s", "t").agg(F.sum("v").alias("v")).collect():
+            out[r.k][r.s if r.k < 2 else (r.s, r.t)] = r.v
+        return out
+
+    return _fit(sums, **options)
+
+
+def _values(pattern: str) -> list[tuple[str, int]]:
+    return [(v.rpartition("*")[0], int(v.rpartition("*")[2])) for v in pattern.split(";")]
 
 
 SURVIVOR = "image_id bigint, name_key string, upstream string, n_records bigint, first_comp_id bigint, keep_comp_id bigint, version_comp_id bigint, license_comp_id bigint, version string, version_posterior double, license string, license_posterior double"
