@@ -33,11 +33,11 @@ def test_snapshot_changes_against_loops(spark):
     rows = []
     for i in range(600):
         snap = rng.choice([1, 2, 3, 5, None])
-        events = rng.choice([None, [], [("i", "0")], [("I", " 0 ")], [("introduced", "0"), ("fixed", "1")], [("f", None)]])
+        events = rng.choice([None, [], [("i", "0")], [("I\t", "\n0\u3000")], [("introduced", "0"), ("fixed", "1")], [("f", None)]])
         loaded = rng.choice([None, datetime(2025, 1, 1 + rng.randrange(9))])
         # A third of all rows deliver one key again and again.
         pkg = "hot" if rng.random() < 0.33 else rng.choice(["a", "b", "c", None])
-        rows.append((i, snap, rng.choice(["x", None]), pkg, rng.choice(["cve-1", " CVE-1", "CVE-2"]), rng.choice([None, "", "s"]), rng.choice([None, "1"]), "t", events, loaded, "clash"))
+        rows.append((i, snap, rng.choice(["x", None]), pkg, rng.choice(["cve-1", " CVE-1", "CVE-1\t", "\u00a0CVE-2\r\n", "CVE-2"]), rng.choice([None, "", "s", "s\t"]), rng.choice([None, "1", "\n1\u2009"]), "t", events, loaded, "clash"))
     got = snapshots.advisory_changes(spark.createDataFrame(rows, OSV)).collect()
     assert len(got) == len(set(got))
     assert {tuple(r) for r in got} == brute_changes(rows)
@@ -55,7 +55,7 @@ def test_kernel_feed_sets_and_scores(spark):
     t = datetime(2025, 1, 1)
     rows = [
         (1, 1, "c-1", [("1", "2"), ("3", "4")], None, None, "HIGH", None, "", t),
-        (2, 2, "C-1 ", [("3", "4"), ("1", "2"), ("1", "2")], [], ("", None), "LOW", -1.0, "x", t),
+        (2, 2, "C-1\t", [("3", "4"), ("1\n", "\u00a02"), ("1", "2")], [], ("", None), "LOW", -1.0, "x", t),
         (3, 1, "c-2", None, None, None, None, 3.0, "", t),
         (4, 2, "c-2", None, None, None, None, 4.0, "", t),
         (5, 2, "c-3", None, None, None, None, None, "", t),

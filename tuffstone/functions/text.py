@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,26 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # Words that mark a token as a placeholder.
 PLACEHOLDERS = ("example", "sample", "changeme", "placeholder", "your_", "yourkey", "test_key", "notreal", "redacted", "dummy", "xxxxxx", "aaaaaa", "000000", "<your", "insert_")
 
+#: Everything without ink that may surround a value: blanks of any kind, line ends, controls, zero-width marks.
+BLANKS = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc") or c in "\u200b\u2060\ufeff")
+
+
+def stripped(text: Column) -> Column:
+    """Text without outer blanks of any kind (spaces, tabs, line ends, no-break spaces, controls); null stays null."""
+    return F.trim(text, F.lit(BLANKS))
+
+
+def with_blanks_stripped(sql: str) -> str:
+    """SQL the tests compare with, each ``bare(x)`` in it spelled out: ``x`` without outer blanks, by character classes."""
+    ends = r"[\s\p{Z}\p{Cc}\x{200B}\x{2060}\x{FEFF}]+"
+    while (at := re.search(r"\bbare\(", sql)) is not None:
+        stop, depth = at.end(), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[stop], 0)
+            stop += 1
+        sql = f"{sql[: at.start()]}regexp_replace({sql[at.end() : stop - 1]}, '^{ends}|{ends}$', '', 'g'){sql[stop:]}"
+    return sql
+
 
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)

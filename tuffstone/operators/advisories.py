@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuffstone.functions.scoring import canonical_cve, cvss_base_score, cvss_rank, high_signal
+from tuffstone.functions.text import stripped
 from tuffstone.functions.versions import version_key
 from tuffstone.operators.nested import flatten_advisories
 
@@ -52,8 +53,8 @@ def is_affected(vkey: Column, events: Column) -> Column:
 
 def keyed_events(events: Column) -> Column:
     """Events with one-letter kinds and version keys, as an advisory index stores them."""
-    kind = lambda e: F.substring(F.lower(F.trim(e["type"])), 1, 1)
-    return F.transform(F.filter(events, lambda e: e["value"].isNotNull()), lambda e: F.struct(kind(e).alias("type"), F.trim(e["value"]).alias("value"), version_key(F.trim(e["value"])).alias("vkey")))
+    kind = lambda e: F.substring(F.lower(stripped(e["type"])), 1, 1)
+    return F.transform(F.filter(events, lambda e: e["value"].isNotNull()), lambda e: F.struct(kind(e).alias("type"), stripped(e["value"]).alias("value"), version_key(stripped(e["value"])).alias("vkey")))
 
 
 def numeric_release(release: Column) -> Column:
@@ -101,7 +102,7 @@ def latest_index(osv_index: DataFrame, keyed: bool = True) -> DataFrame:
     """
     newest = osv_index.agg(F.max("snap_no").alias("snap_no"))
     rows = osv_index.join(F.broadcast(newest), "snap_no")
-    clean = rows.select("eco", "pkg", F.upper(F.trim("id")).alias("id"), F.coalesce(F.trim("rel"), F.lit("")).alias("rel"), F.nullif(F.col("sev"), F.lit("")).alias("sev"), "summary", "events", "loaded_at", "row_id")
+    clean = rows.select("eco", "pkg", F.upper(stripped(F.col("id"))).alias("id"), F.coalesce(stripped(F.col("rel")), F.lit("")).alias("rel"), F.nullif(stripped(F.col("sev")), F.lit("")).alias("sev"), "summary", "events", "loaded_at", "row_id")
     last = Window.partitionBy("eco", "pkg", "id", "rel").orderBy(F.col("loaded_at").desc_nulls_last(), F.desc("row_id"))
     kept = clean.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "loaded_at", "row_id")
     events = F.coalesce("events", F.array().cast("array<struct<type:string,value:string>>"))
@@ -152,8 +153,8 @@ def nvd_join(components: DataFrame, entries: DataFrame) -> DataFrame:
     wanted = known.where("vendor is not null and product is not null and coalesce(version, '') <> ''")
     distinct = wanted.groupBy("vendor", "product", F.coalesce("name", F.lit("")).alias("name"), "version").agg(F.min("purl").alias("purl"), F.max(F.coalesce("fork", F.lit(""))).alias("fork"))
     distinct = distinct.withColumn("vkey", version_key(F.col("version")))
-    key = lambda c: version_key(F.nullif(F.trim(c), F.lit("")))
-    bounds = entries.select("vendor", "product", "id", "cvss", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("ver", "si", "se", "ei", "ee")], *[key(c).alias(f"{c}_key") for c in ("ver", "si", "se", "ei", "ee")]).distinct()
+    key = lambda c: version_key(F.nullif(stripped(c), F.lit("")))
+    bounds = entries.select("vendor", "product", "id", "cvss", *[F.nullif(stripped(F.col(c)), F.lit("")).alias(c) for c in ("ver", "si", "se", "ei", "ee")], *[key(F.col(c)).alias(f"{c}_key") for c in ("ver", "si", "se", "ei", "ee")]).distinct()
     v = F.col("vkey")
     inside = F.when(F.col("ver").isNotNull(), v == F.col("ver_key")).otherwise(
         (F.col("si").isNull() | (v >= F.col("si_key"))) & (F.col("se").isNull() | (v > F.col("se_key"))) & (F.col("ei").isNull() | (v <= F.col("ei_key"))) & (F.col("ee").isNull() | (v < F.col("ee_key")))

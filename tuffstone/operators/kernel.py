@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tuffstone.functions.text import stripped
 from tuffstone.functions.versions import version_key
 
 # The checklist. Advisory, first affected and first fixed version (- for an open end), impact,
@@ -281,7 +282,7 @@ def in_range(vkey: Column, low: Column, high: Column) -> Column:
 
 
 def _key(c: Column) -> Column:
-    return version_key(F.nullif(F.trim(c), F.lit("")))
+    return version_key(F.nullif(stripped(c), F.lit("")))
 
 
 def kernel_checklist(images: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -332,7 +333,7 @@ def latest_feed(kernel_feed: DataFrame) -> DataFrame:
     """The last snapshot of the feed, each id as loaded last."""
     newest = kernel_feed.agg(F.max("snap_no").alias("snap_no"))
     w = Window.partitionBy("id").orderBy(F.col("loaded_at").desc_nulls_last(), F.desc("row_id"))
-    rows = kernel_feed.join(F.broadcast(newest), "snap_no").withColumn("id", F.upper(F.trim("id")))
+    rows = kernel_feed.join(F.broadcast(newest), "snap_no").withColumn("id", F.upper(stripped(F.col("id"))))
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 

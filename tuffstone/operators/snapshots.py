@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuffstone.functions.text import stripped
+
 
 def text_or_empty(c: Column) -> Column:
-    """Text without outer blanks; null becomes ''."""
-    return F.coalesce(F.trim(c), F.lit(""))
+    """Text without outer blanks of any kind; null becomes ''."""
+    return F.coalesce(stripped(c), F.lit(""))
 
 
 def snapshot_changes(

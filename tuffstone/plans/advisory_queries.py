@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuffstone.functions import scoring
+from tuffstone.functions.text import stripped
 from tuffstone.functions.versions import version_key, version_key_sql
 from tuffstone.operators import advisories as adv
 from tuffstone.runtime import table
@@ -33,7 +34,7 @@ def cvss_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def canonical_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "osv_index").select(scoring.canonical_cve(F.upper(F.trim("id"))).alias("cve_id")).groupBy("cve_id").agg(F.count("*").alias("n"))
+    return table(spark, sf, "osv_index").select(scoring.canonical_cve(F.upper(stripped(F.col("id")))).alias("cve_id")).groupBy("cve_id").agg(F.count("*").alias("n"))
 
 
 def ecosystem_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,11 +127,11 @@ _ECO = """case when source = 'dpkg' then case when lower(i.distro_id) = 'ubuntu'
   when source = 'npm' then 'npm' when source = 'pypi' then 'PyPI' when source = 'golang' then 'Go' when source = 'cargo' then 'crates.io' when source = 'composer' then 'Packagist' when source = 'gem' then 'RubyGems' end"""
 
 _OSV = f"""
-idx as (select eco, pkg, upper(trim(id)) as id, trim(coalesce(rel, '')) as rel, nullif(sev, '') as sev, events, coalesce(summary, '') as summary from (
-  select *, row_number() over (partition by eco, pkg, upper(trim(id)), trim(coalesce(rel, '')) order by loaded_at desc nulls last, row_id desc) as rn
+idx as (select eco, pkg, upper(bare(id)) as id, bare(coalesce(rel, '')) as rel, nullif(sev, '') as sev, events, coalesce(summary, '') as summary from (
+  select *, row_number() over (partition by eco, pkg, upper(bare(id)), bare(coalesce(rel, '')) order by loaded_at desc nulls last, row_id desc) as rn
   from osv_index where snap_no = (select max(snap_no) from osv_index)) where rn = 1),
 ev as (select eco, pkg, id, rel, unnest(generate_series(1, len(events))) as p, unnest(events) as e from idx),
-ek as (select eco, pkg, id, rel, p, substr(lower(trim(e.type)), 1, 1) as kind, trim(e.value) as val, {version_key_sql("trim(e.value)")} as k from ev where e.value is not null),
+ek as (select eco, pkg, id, rel, p, substr(lower(bare(e.type)), 1, 1) as kind, bare(e.value) as val, {version_key_sql("bare(e.value)")} as k from ev where e.value is not null),
 comp as (select distinct eco, name, version, release, {version_key_sql("version")} as k from (
   select {_ECO} as eco, c.name, c.version, case when source <> 'apk' and lower(i.distro_id) in ('debian','ubuntu') then coalesce(i.distro_version, '') else '' end as release
   from components c left join images i on c.image_id = i.image_id) where eco is not null and coalesce(name, '') <> '' and coalesce(version, '') <> ''),
@@ -141,7 +142,7 @@ osv_rows as (select f.name || '@' || f.version as component, f.id as cve_id, coa
   from fold f join idx x on f.eco = x.eco and f.name = x.pkg and f.id = x.id and f.rel = x.rel where last_kind = 'i'),
 osv as (select component, cve_id, severity, basis, summary, false as fork, false as unbounded_below from (select *, row_number() over (partition by component, cve_id order by basis, severity, summary) as rn from osv_rows) where rn = 1)
 """
-_B = ", ".join(f"nullif(trim({c}), '') as {c}, {version_key_sql(f'nullif(trim({c}), {chr(39) * 2})')} as {c}_k" for c in ("ver", "si", "se", "ei", "ee"))
+_B = ", ".join(f"nullif(bare({c}), '') as {c}, {version_key_sql(f'nullif(bare({c}), {chr(39) * 2})')} as {c}_k" for c in ("ver", "si", "se", "ei", "ee"))
 _NVD = f"""
 nb as (select distinct vendor, product, id, cvss, {_B} from nvd_entries),
 nc as (select split_part(cpe, ':', 4) as vendor, split_part(cpe, ':', 5) as product, coalesce(name, '') as name, version, max(coalesce(fork, '')) as fork, {version_key_sql("version")} as k
@@ -170,7 +171,7 @@ gated as (select *, kev or (not (fork and unbounded_below) and (score >= 9 or (s
 ORACLE = {
     "version_order": f"select name, arg_max(version, row(k, version)) as newest, count(*) as n from (select name, version, {version_key_sql('version')} as k from components where version is not null and name is not null) group by name",
     "cvss_score": f"with vectors as (select distinct v from (select cvss as v from nvd_entries union all select sev from osv_index)), sc as {_SCORE} select v as vector, cast(score as double) as score, richness from sc",
-    "canonical_ids": "select coalesce(nullif(regexp_extract(upper(trim(id)), 'CVE-[0-9]+-[0-9]+'), ''), upper(trim(id))) as cve_id, count(*) as n from osv_index group by 1",
+    "canonical_ids": "select coalesce(nullif(regexp_extract(upper(bare(id)), 'CVE-[0-9]+-[0-9]+'), ''), upper(bare(id))) as cve_id, count(*) as n from osv_index group by 1",
     "ecosystem_of": f"select source, {_ECO} as eco, count(*) as n from components c left join images i on c.image_id = i.image_id group by all",
     "osv_join": f"with {_OSV} select component, cve_id, basis, severity from osv",
     "nvd_join": f"with {_NVD} select component, cve_id, basis, severity, unbounded_below from nvd",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tuffstone.functions.text import with_blanks_stripped
 from tuffstone.plans import advisory_queries, boot_queries, content_queries, data_queries, ingest_queries, kernel_queries, key_queries, package_queries, report_queries
 
 MODULES = [data_queries, advisory_queries, ingest_queries, content_queries, package_queries, kernel_queries, key_queries, boot_queries, report_queries]
@@ -12,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+    return {name: with_blanks_stripped(sql) for m in MODULES for name, sql in m.ORACLE.items()}

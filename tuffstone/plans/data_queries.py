@@ -36,17 +36,17 @@ QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_change_counts": p5_ch
 
 _P5 = """
 with o as (
-  select 'osv' as feed, snap_no, coalesce(eco,'') as eco, coalesce(pkg,'') as pkg, upper(trim(coalesce(id,''))) as id,
-         trim(coalesce(rel,'')) as rel, loaded_at, row_id,
-         trim(coalesce(sev,'')) || '|' || coalesce(array_to_string(list_transform(events, lambda e:
-           case lower(trim(coalesce(e.type,''))) when 'introduced' then 'i' when 'fixed' then 'f' when 'last_affected' then 'l'
-                else lower(trim(coalesce(e.type,''))) end || '=' || trim(coalesce(e.value,''))), ';'), '') as body
+  select 'osv' as feed, snap_no, coalesce(eco,'') as eco, coalesce(pkg,'') as pkg, upper(bare(coalesce(id,''))) as id,
+         bare(coalesce(rel,'')) as rel, loaded_at, row_id,
+         bare(coalesce(sev,'')) || '|' || coalesce(array_to_string(list_transform(events, lambda e:
+           case lower(bare(coalesce(e.type,''))) when 'introduced' then 'i' when 'fixed' then 'f' when 'last_affected' then 'l'
+                else lower(bare(coalesce(e.type,''))) end || '=' || bare(coalesce(e.value,''))), ';'), '') as body
   from osv_index where snap_no is not null),
 k as (
-  select 'kernel' as feed, snap_no, '' as eco, '' as pkg, upper(trim(coalesce(id,''))) as id, '' as rel, loaded_at, row_id,
-         coalesce(array_to_string(list_sort(list_distinct(list_transform(ranges, lambda r: trim(coalesce(r.lo,'')) || '-' || trim(coalesce(r.hi,''))))), ';'), '') || '|' ||
-         coalesce(array_to_string(list_sort(list_distinct(list_transform(broad, lambda r: trim(coalesce(r.lo,'')) || '-' || trim(coalesce(r.hi,''))))), ';'), '') || '|' ||
-         trim(coalesce(mainline.lo,'')) || '-' || trim(coalesce(mainline.hi,'')) || '|' || cast(coalesce(score, -1) as varchar) as body
+  select 'kernel' as feed, snap_no, '' as eco, '' as pkg, upper(bare(coalesce(id,''))) as id, '' as rel, loaded_at, row_id,
+         coalesce(array_to_string(list_sort(list_distinct(list_transform(ranges, lambda r: bare(coalesce(r.lo,'')) || '-' || bare(coalesce(r.hi,''))))), ';'), '') || '|' ||
+         coalesce(array_to_string(list_sort(list_distinct(list_transform(broad, lambda r: bare(coalesce(r.lo,'')) || '-' || bare(coalesce(r.hi,''))))), ';'), '') || '|' ||
+         bare(coalesce(mainline.lo,'')) || '-' || bare(coalesce(mainline.hi,'')) || '|' || cast(coalesce(score, -1) as varchar) as body
   from kernel_feed where snap_no is not null),
 a as (select * from o union all select * from k),
 l as (select * from (select *, row_number() over (partition by feed, eco, pkg, id, rel, snap_no order by loaded_at desc nulls last, row_id desc) as rn from a) where rn = 1),

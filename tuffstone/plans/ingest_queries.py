@@ -114,7 +114,7 @@ ORACLE = {
     "nvd_index_read": "select 'CVE-1' as id, 'a' as vendor, 'b' as product, '' as cvss, '' as ver, '' as si, '' as se, '' as ei, '1.0' as ee",
     "feed_index_read": "select * from (values ('CVE-1', '6.6-6.6.9', '5.1-6.7', 7.8::double), ('CVE-2', '', '', -1)) t(id, ranges, mainline, score)",
     "cpe_products": "select distinct split_part(cpe, ':', 4) as vendor, split_part(cpe, ':', 5) as product from components where len(string_split(cpe, ':')) >= 6 and split_part(cpe, ':', 4) <> '' and split_part(cpe, ':', 5) <> ''",
-    "index_lookup": """select eco, pkg, count(*) as n from (select distinct eco, pkg, upper(trim(id)), trim(coalesce(rel, '')) from osv_index where snap_no = (select max(snap_no) from osv_index))
+    "index_lookup": """select eco, pkg, count(*) as n from (select distinct eco, pkg, upper(bare(id)), bare(coalesce(rel, '')) from osv_index where snap_no = (select max(snap_no) from osv_index))
       where pkg in (select name from components where image_id = 1) group by all""",
     "license_path_test": "select regexp_matches(lower(path), '(^|/)((license|licence|copying|notice|copyright|unlicense|eula)([.][^/]*)?|[^/]*[.]license)(/|$)') as is_license, count(*) as n from source_files group by 1",
     "rule_fixture": """select * from (values ('aws', 'aws-access-key-id', 60, 3::bigint), ('github', 'github-token', 95, 0), ('github-odd', 'github-token', 60, 0), ('pat', 'github-fine-grained-pat', 60, 0), ('gitlab', 'gitlab-pat', 60, 0), ('npm', 'npm-token', 60, 0),

@@ -100,9 +100,9 @@ def cna_ingest(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (kconfig_options, kconfig_sniff, kconfig_summary, hardening, ikconfig, kernel_checklist, option_state, kernel_gating, kernel_feed, kernel_merge, cna_ingest)}
 
 _CHECK = ", ".join(f"('{c}', '{impact}', nullif('{i}', ''), nullif('{f}', ''))" for c, i, f, impact, _, _ in k._table(k.CHECKLIST))
-_FEED = f"""with f as (select * from (select *, upper(trim(id)) as cve, row_number() over (partition by upper(trim(id)) order by loaded_at desc nulls last, row_id desc) as rn from kernel_feed where snap_no = (select max(snap_no) from kernel_feed)) where rn = 1),
-s as (select cve, 'a' as rank, unnest(ranges) as r from f union all select cve, 'b', unnest(broad) from f union all select cve, 'c', mainline from f where coalesce(trim(mainline.lo), '') <> '' and coalesce(trim(mainline.hi), '') <> ''),
-sk as (select cve, rank, {version_key_sql("nullif(trim(r.lo), '')")} as lo, {version_key_sql("nullif(trim(r.hi), '')")} as hi from s where r is not null),
+_FEED = f"""with f as (select * from (select *, upper(bare(id)) as cve, row_number() over (partition by upper(bare(id)) order by loaded_at desc nulls last, row_id desc) as rn from kernel_feed where snap_no = (select max(snap_no) from kernel_feed)) where rn = 1),
+s as (select cve, 'a' as rank, unnest(ranges) as r from f union all select cve, 'b', unnest(broad) from f union all select cve, 'c', mainline from f where coalesce(bare(mainline.lo), '') <> '' and coalesce(bare(mainline.hi), '') <> ''),
+sk as (select cve, rank, {version_key_sql("nullif(bare(r.lo), '')")} as lo, {version_key_sql("nullif(bare(r.hi), '')")} as hi from s where r is not null),
 v as (select kernel_version, {version_key_sql("kernel_version")} as k from (select distinct kernel_version from images where coalesce(kernel_version, '') <> '')),
 m as (select kernel_version, cve, min(rank) as rank from sk join v on (lo is null or k >= lo) and (hi is null or k < hi) and (rank <> 'c' or regexp_matches(kernel_version, '^[0-9]+[.][0-9]+([.]0)?$')) group by all),
 b as (select kernel_version, cve, case when rank = 'a' then 'branch-exact' else 'broad-range' end as basis from m) """
