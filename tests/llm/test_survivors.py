@@ -23,8 +23,8 @@ def brute(rows):
         ups = {u for u, _ in members if u}
         groups = defaultdict(list)
         for u, r in members:
-            if u or len(ups) == 1:
-                groups[u or next(iter(ups))].append(r)
+            if u or len(ups) < 2:
+                groups[u or next(iter(ups), "")].append(r)
         for g in groups.values():
             if len(g) > 1:
                 g.sort(key=lambda r: (-(r[6] if r[6] is not None and 0 <= r[6] <= 100 else -1), -(r[7].timestamp() if r[7] else -1e18), r[0]))
@@ -61,7 +61,38 @@ def test_a_fit_beyond_the_bound_leaves_no_pattern_out(spark):
 
 def test_nothing(spark):
     assert s.survivors(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert s.survivors(spark.createDataFrame([(1, 1, "a", None, None, None, None, None, None, None), (2, 1, "a", None, None, None, None, None, None, None)], SCHEMA)).count() == 0
+    assert s.survivors(spark.createDataFrame([(1, 1, "a", None, None, None, None, None, None, None), (2, 1, None, None, None, None, None, None, None, None)], SCHEMA)).count() == 0
+
+
+def test_records_that_all_state_no_version_are_one_group(spark):
+    rows = [(1, 1, "a", None, None, None, None, None, None, None), (2, 1, "A\t", "\u00a0", "MIT", "x", 50, None, None, None)]
+    got = s.survivors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.upstream, r.first_comp_id, r.keep_comp_id, r.version_comp_id, r.license_comp_id, r.version) for r in got] == [("", 1, 2, 0, 2, None)]
+
+
+def test_fused_values_beat_the_count_of_votes_where_errors_are_copied(spark):
+    # Sources a, b and c err on their own, c often and with little confidence; d, e and f repeat c.
+    rng = random.Random(3)
+    rows, truth, counted = [], {}, 0
+    for k in range(600):
+        truth[f"p{k}"] = true = f"license{rng.randrange(40)}"
+        wrong = lambda: f"license{rng.randrange(40)}"
+        copied = true if rng.random() < 0.6 else wrong()
+        said = {"a": true if rng.random() < 0.9 else wrong(), "b": true if rng.random() < 0.9 else wrong(), "c": copied, "d": copied, "e": copied, "f": copied}
+        votes = list(said.values())
+        counted += max(sorted(set(votes)), key=votes.count) == true
+        for source, value in said.items():
+            rows.append((len(rows) + 1, 1, f"p{k}", "1.0", value, source, 90 if source in "ab" else 60, None, "f", "v"))
+    got = s.survivors(spark.createDataFrame(rows, SCHEMA)).collect()
+    right = sum(r.license == truth[r.name_key] for r in got)
+    assert counted < 0.65 * 600 and right > 0.85 * 600
+
+
+def test_confidence_and_recency_decide_between_equal_sources(spark):
+    old, new = datetime(2025, 1, 1), datetime(2025, 2, 1)
+    rows = [(1, 1, "a", "1", "MIT", "x", 95, old, "f", "v"), (2, 1, "a", "1", "ISC", "x", 20, new, "f", "v"), (3, 2, "a", "1", "MIT", "x", 80, old, "f", "v"), (4, 2, "a", "1", "ISC", "x", 80, new, "f", "v")]
+    got = {r.image_id: r.license for r in s.survivors(spark.createDataFrame(rows, SCHEMA), s.Sources({"x": 0.9})).collect()}
+    assert got == {1: "mit", 2: "isc"}
 
 
 def test_copied_votes_count_less():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuffstone.functions.text import with_blanks_stripped
 from tuffstone.llm import homoglyphs, leakage, licensing, linkage, packing, survivors
 from tuffstone.runtime import table
 
@@ -72,13 +73,13 @@ def queries() -> dict:
 _P1 = """
 with r as (
   select image_id, comp_id, nullif(regexp_replace(lower(name), '[\\s\\x{00a0}_.\\-]+', '', 'g'), '') as k,
-         nullif(trim(version), '') as version, nullif(trim(license), '') as license,
+         nullif(bare(version), '') as version, nullif(bare(license), '') as license,
          case when confidence between 0 and 100 then confidence else -1 end as conf, scanned_at,
-         nullif(regexp_replace(regexp_replace(lower(nullif(trim(version), '')), '^([0-9]+:)?v?([0-9])', '\\2'),
+         nullif(regexp_replace(regexp_replace(lower(nullif(bare(version), '')), '^([0-9]+:)?v?([0-9])', '\\2'),
                 '(\\+(dfsg|ds|repack|git)[^-]*)?(-r?[0-9][0-9a-z.+~]*)?$', ''), '') as up
   from components),
 v as (select image_id, k, min(up) as lo, max(up) as hi from r where k is not null and image_id is not null group by 1, 2),
-g as (select r.*, coalesce(r.up, case when v.lo = v.hi then v.lo end) as u from r join v on r.image_id = v.image_id and r.k = v.k),
+g as (select r.*, coalesce(r.up, case when v.lo is null then '' when v.lo = v.hi then v.lo end) as u from r join v on r.image_id = v.image_id and r.k = v.k),
 o as (select *, row_number() over (partition by image_id, k, u order by conf desc, scanned_at desc nulls last, comp_id) as rn from g where u is not null)
 select min(comp_id) as first_comp_id, min(comp_id) filter (where rn = 1) as keep_comp_id,
        coalesce(arg_min(comp_id, rn) filter (where version is not null), 0) as version_comp_id,
@@ -88,4 +89,4 @@ from o group by image_id, k, u having count(*) > 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1}
+    return {name: with_blanks_stripped(sql) for name, sql in {"p1_found": _P1}.items()}

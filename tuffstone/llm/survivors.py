@@ -4,8 +4,10 @@ Records of one image with the same package name and upstream version form a grou
 by Bayesian voting: sources (the extractors) have unknown accuracies, sources that share false values depend
 on each other, and a copied vote counts less. Accuracies and dependences are estimated from how often each
 pattern of agreement occurs in the whole table; every value then gets a score from the set of sources that
-claim it, and the value of the greatest posterior survives. Next to the fused values the operator names the
-rows of its group that stand first by rank, field by field.
+claim it, and the value of the greatest posterior survives. The vote of a set of sources counts in full only where
+its best stated confidence is full, and of values that stand equal the better ranked (more confident, then more
+recent) one survives. Next to the fused values the operator names the rows of its group that stand first by
+rank, field by field.
 
 Everything is a combining aggregate over (group), (group, value) or (pattern): a group may hold any share of
 the rows.
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuffstone.functions.text import stripped
 from tuffstone.runtime import cut
 
 FIELDS = ("version", "license")
@@ -31,7 +34,7 @@ _ID_SPACE = "1000000000000000000"
 
 def given(c: Column) -> Column:
     """Text with something in it, without outer blanks; else null."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def name_key(c: Column) -> Column:
@@ -39,10 +42,14 @@ def name_key(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(c), r"[\s _.\-]+", ""), F.lit(""))
 
 
+def bare_version(c: Column) -> Column:
+    """A version in lower case without epoch and leading v."""
+    return F.regexp_replace(F.lower(given(c)), r"^(?:[0-9]+:)?v?(?=[0-9])", "")
+
+
 def upstream_version(c: Column) -> Column:
     """A version without epoch, leading v and packaging suffixes (``+dfsg``, ``-3+deb11u1``, ``-r4``, ``-9.el8``)."""
-    bare = F.regexp_replace(F.lower(given(c)), r"^(?:[0-9]+:)?v?(?=[0-9])", "")
-    return F.nullif(F.regexp_replace(bare, r"(?:\+(?:dfsg|ds|repack|git)[^-]*)?(?:-r?[0-9][0-9a-z.+~]*)?$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(bare_version(c), r"(?:\+(?:dfsg|ds|repack|git)[^-]*)?(?:-r?[0-9][0-9a-z.+~]*)?$", ""), F.lit(""))
 
 
 def _rank() -> Column:
@@ -54,6 +61,12 @@ def _rank() -> Column:
     return (high.cast("decimal(20,0)") * F.lit(_ID_SPACE).cast("decimal(19,0)")).cast("decimal(38,0)") + F.col("comp_id").cast("decimal(18,0)")
 
 
+def _trust(rank: str) -> Column:
+    """The confidence inside a rank in steps of ten, 0 to 10; unusable ones count as even odds."""
+    doubt = (F.col(rank) / F.lit("100000000000000000000000000000000000").cast("decimal(36,0)")).cast("int")
+    return F.when(doubt > 100, 5).otherwise(F.floor((100 - doubt) / 10)).cast("int")
+
+
 def _row_of(rank: str) -> Column:
     """The comp_id inside a rank; 0 for none."""
     return F.coalesce((F.col(rank) % F.lit(_ID_SPACE).cast("decimal(19,0)")).cast("bigint"), F.lit(0))
@@ -71,21 +84,22 @@ class Sources:
     def score(self, names: list[str]) -> float:
         """Log odds for a value claimed by these sources, votes that may be copied discounted."""
         total, before = 0.0, []
-        for s in sorted(names, key=lambda s: (-self.accuracy.get(s, 0.8), s)):
-            a = self.accuracy.get(s, 0.8)
+        for s in sorted(names, key=lambda s: (-self.accuracy.get(s, 0.9), s)):
+            a = self.accuracy.get(s, 0.9)
             alone = math.prod(1 - self.copy_rate * self.dependence.get((min(s, t), max(s, t)), 0.0) for t in before)
             total += math.log(self.false_values * a / (1 - a)) * alone
             before.append(s)
         return total
 
 
-def fit(patterns: list[tuple[list[tuple[str, int]], int]], rounds: int = 8, prior: float = 0.1, false_values: int = 10, copy_rate: float = 0.8) -> Sources:
+def fit(patterns: list[tuple[list[tuple[str, int]], int]], trust: dict[str, float] | None = None, rounds: int = 8, prior: float = 0.1, false_values: int = 10, copy_rate: float = 0.8) -> Sources:
     """Estimate ``Sources`` from patterns of agreement.
 
     A pattern lists, for one group and field, each set of sources (names joined by '|') that share a value
-    and how many values they share so; its number is how many groups show it.
+    and how many values they share so; its number is how many groups show it. ``trust`` gives the accuracy to
+    start from (0.9 where it is silent).
     """
-    return _fit(lambda model: _sums(model, patterns), rounds, prior, false_values, copy_rate)
+    return _fit(lambda model: _sums(model, patterns), trust, rounds, prior, false_values, copy_rate)
 
 
 def _sums(model: Sources, patterns: Iterable[tuple[list[tuple[str, int]], int]]) -> tuple[dict, dict, dict, dict, dict]:
@@ -116,12 +130,17 @@ def _sums(model: Sources, patterns: Iterable[tuple[list[tuple[str, int]], int]])
     return right, claims, same_true, same_false, differ
 
 
-def _fit(sums: Callable[[Sources], tuple], rounds: int = 8, prior: float = 0.1, false_values: int = 10, copy_rate: float = 0.8) -> Sources:
-    """``Sources`` by rounds over ``sums`` of all patterns under the model so far."""
-    model = Sources({}, {}, false_values, copy_rate)
-    for _ in range(rounds):
+def _fit(sums: Callable[[Sources], tuple], trust: dict[str, float] | None = None, rounds: int = 8, prior: float = 0.1, false_values: int = 10, copy_rate: float = 0.8) -> Sources:
+    """``Sources`` by rounds over ``sums`` of all patterns under the model so far, from the accuracies in ``trust`` on.
+
+    The first three rounds only seek dependence: votes counted before copies are known would make the most copied
+    source the most accurate one, and later rounds could not undo that.
+    """
+    trust = trust or {}
+    model = Sources(dict(trust), {}, false_values, copy_rate)
+    for k in range(rounds):
         right, claims, same_true, same_false, differ = sums(model)
-        model.accuracy = {s: min(0.99, max(0.05, (right[s] + 2.0) / (claims[s] + 2.5))) for s in sorted(claims)}
+        model.accuracy = {s: min(0.99, max(0.05, (right[s] + 2.5 * trust.get(s, 0.9)) / (claims[s] + 2.5) if k >= 3 else trust.get(s, 0.9))) for s in sorted(claims)}
         model.dependence = {}
         for pair in differ:
             a, b = (model.accuracy[s] for s in pair)
@@ -138,13 +157,13 @@ def _folded(components: DataFrame) -> DataFrame:
 
     Repeated rows combine before the shuffle.
     """
-    version, license_ = given(F.col("version")), given(F.col("license"))
+    license_ = given(F.col("license"))
     rows = components.select(
         "image_id",
         name_key(F.col("name")).alias("name_key"),
         upstream_version(F.col("version")).alias("upstream"),
         F.coalesce(given(F.col("source")), F.lit("?")).alias("source"),
-        F.lower(version).alias("version"),
+        bare_version(F.col("version")).alias("version"),
         F.regexp_replace(F.lower(license_), r"[^a-z0-9+.]+", "").alias("license"),
         "comp_id",
         _rank().alias("rank"),
@@ -155,49 +174,68 @@ def _folded(components: DataFrame) -> DataFrame:
 def duplicate_groups(components: DataFrame) -> DataFrame:
     """One row per group of two or more records: counts, best ranks, and who claims what.
 
-    ``claims`` is an array of (field, sources, m, value): the sets of sources that share a value of a field,
-    how many values they share so and the first of these; it holds one entry for each set of sources that
-    occurs, whatever the number of records. Everything after the fold runs on one partitioning by image and
-    name. Rows without image or name, and rows without version whose name has no or several upstream
-    versions in the image, belong to no group.
+    ``claims`` is an array of (field, sources, trust, m, value) in order of rank: the sets of sources that share
+    a value of a field with that confidence, how many values they share so and the best ranked of these; it holds
+    one entry for each set of sources and step of confidence that occurs, whatever the number of records.
+    Everything after the fold runs on one partitioning by image and name. Rows without version belong to the
+    one upstream version of their name in the image; where the image has none of that name, they agree in
+    stating none and form a group with upstream ''. Rows without image or name, and rows without version whose
+    name has several upstream versions in the image, belong to no group.
     """
     rows = _folded(components).repartition("image_id", "name_key")
     by_name, by_group = Window.partitionBy("image_id", "name_key"), Window.partitionBy(*GROUP)
     least, most = F.min("upstream").over(by_name), F.max("upstream").over(by_name)
-    placed = rows.withColumn("sole", F.when(least == most, least)).withColumn("upstream", F.coalesce("upstream", "sole")).where("upstream is not null").drop("sole")
+    placed = rows.withColumn("sole", F.when(least.isNull(), "").when(least == most, least)).withColumn("upstream", F.coalesce("upstream", "sole")).where("upstream is not null").drop("sole")
     several = placed.withColumn("together", F.sum("n").over(by_group)).where("together > 1").drop("together")
-    parts = [F.struct(F.lit("").alias("field"), F.lit("").alias("value")), *[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS]]
+    # Whoever states the upstream version alone doesn't contradict a packaging suffix: it claims nothing about it.
+    claimed = {"version": F.when(F.col("version") != F.col("upstream"), F.col("version")), "license": F.col("license")}
+    parts = [F.struct(F.lit("").alias("field"), F.lit("").alias("value")), *[F.struct(F.lit(f).alias("field"), claimed[f].alias("value")) for f in FIELDS]]
     each = several.select(*GROUP, "source", "n", "first", "rank", *[F.when(F.col(f).isNotNull(), F.col("rank")).alias(f"{f}_rank") for f in FIELDS], F.explode(F.array(*parts)).alias("c"))
     ranks = ["rank", *[f"{f}_rank" for f in FIELDS]]
     folds = [F.sum("n").alias("n"), F.min("first").alias("first"), *[F.min(r).alias(r) for r in ranks]]
     by_value = each.where("c.value is not null").groupBy(*GROUP, "c.field", "c.value").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"), *folds)
-    by_sources = by_value.groupBy(*GROUP, "field", "sources").agg(F.count("*").alias("m"), F.min("value").alias("value"), *folds)
+    by_value = by_value.withColumn("trust", _trust("rank"))
+    by_sources = by_value.groupBy(*GROUP, "field", "sources", "trust").agg(F.count("*").alias("m"), F.min(F.struct("rank", "value")).alias("best"), *folds)
     whole = F.col("field") == ""
     return by_sources.groupBy(*GROUP).agg(
         F.sum(F.when(whole, F.col("n"))).alias("n_records"),
         F.min("first").alias("first_comp_id"),
         *[F.min(r).alias(r) for r in ranks],
-        F.array_sort(F.collect_list(F.when(~whole, F.struct("field", "sources", "m", "value")))).alias("claims"),
+        F.transform(
+            F.array_sort(F.collect_list(F.when(~whole, F.struct("best", "field", "sources", "trust", "m")))),
+            lambda c: F.struct(c["field"].alias("field"), c["sources"].alias("sources"), c["trust"].alias("trust"), c["m"].alias("m"), c["best"]["value"].alias("value")),
+        ).alias("claims"),
     )
 
 
-def fit_sources(groups: DataFrame, max_patterns: int = 100_000, **options) -> Sources:
+def stated_trust(components: DataFrame) -> dict[str, float]:
+    """Mean usable confidence of each source as a share, within 0.3 and 0.95: what a source says of itself.
+
+    As many numbers as there are kinds of sources come to the driver.
+    """
+    usable = F.avg(F.when(F.col("confidence").between(0, 100), F.col("confidence")))
+    named = components.groupBy(F.coalesce(given(F.col("source")), F.lit("?")).alias("s")).agg((usable / 100).alias("a"))
+    return {r.s: min(0.95, max(0.3, r.a)) for r in named.collect() if r.a is not None}
+
+
+def fit_sources(groups: DataFrame, trust: dict[str, float] | None = None, max_patterns: int = 100_000, **options) -> Sources:
     """``Sources`` fitted on the agreement patterns of all ``duplicate_groups``.
 
     Patterns, not groups, come to the driver: a pattern is a list of source sets with counts, so there are
     few of them however many rows there are. Were there more than ``max_patterns``, they stay where they are
-    and each round of the same fit sums them up in Spark; none is left out.
+    and each round of the same fit sums them up in Spark; none is left out. The fit starts from the
+    accuracies in ``trust``.
     """
 
     def shape(name: str) -> Column:
         mine = F.filter("claims", lambda c: c["field"] == name)
-        return F.array_join(F.transform(mine, lambda c: F.concat_ws("*", c["sources"], c["m"])), ";")
+        return F.array_join(F.array_sort(F.transform(mine, lambda c: F.concat_ws("*", c["sources"], c["m"]))), ";")
 
     parts = [shape(f) for f in FIELDS]
     patterns = groups.select(F.explode(F.array(*parts)).alias("pattern")).where("pattern <> ''").groupBy("pattern").agg(F.count("*").alias("n"))
     some = patterns.limit(max_patterns + 1).collect()
     if len(some) <= max_patterns:
-        return fit([(_values(r.pattern), r.n) for r in sorted(some, key=lambda r: (-r.n, r.pattern))], **options)
+        return fit([(_values(r.pattern), r.n) for r in sorted(some, key=lambda r: (-r.n, r.pattern))], trust, **options)
     patterns = cut(patterns)
 
     def sums(model: Sources) -> tuple[dict, dict, dict, dict, dict]:
@@ -213,7 +251,7 @@ def fit_sources(groups: DataFrame, max_patterns: int = 100_000, **options) -> So
             out[r.k][r.s if r.k < 2 else (r.s, r.t)] = r.v
         return out
 
-    return _fit(sums, **options)
+    return _fit(sums, trust, **options)
 
 
 def _values(pattern: str) -> list[tuple[str, int]]:
@@ -228,31 +266,37 @@ def survivors(components: DataFrame, model: Sources | None = None) -> DataFrame:
 
     ``keep`` is the record with the highest usable confidence (0..100; null and others last), then the
     latest scan (null last), then the smallest comp_id; the two field rows are the first in that order that
-    state the field, else 0. Fused values are lower-cased; a field nobody states is null with a null
-    posterior. Repeated rows count as records. comp_id must lie below 10^18.
+    state the field, else 0. Fused values are lower-cased; versions come without epoch and leading v, with the
+    packaging suffix of the greatest posterior, or as the upstream version if nobody states a suffix; a field nobody
+    states is null with a null posterior. Repeated rows count as records. comp_id must lie below 10^18.
     """
     groups = cut(duplicate_groups(components))
     if model is None:
-        model = fit_sources(groups)
+        model = fit_sources(groups, stated_trust(components))
     sent = components.sparkSession.sparkContext.broadcast(model)
     names = [c.split()[0] for c in SURVIVOR.split(", ")]
     same, last = [*GROUP, "n_records", "first_comp_id"], ["keep_comp_id", *[f"{f}_comp_id" for f in FIELDS]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known: dict[tuple, float] = {}
 
-        def weight(sources: str) -> float:
-            if sources not in known:
-                known[sources] = math.exp(min(60.0, sent.value.score(sources.split("|"))))
-            return known[sources]
+        def weight(sources: str, trust: int) -> float:
+            if (sources, trust) not in known:
+                known[sources, trust] = math.exp(min(60.0, sent.value.score(sources.split("|")) * (0.5 + trust / 20)))
+            return known[sources, trust]
 
         for batch in batches:
             fused: dict[str, list] = {c: [] for f in FIELDS for c in (f, f"{f}_posterior")}
-            for claims in batch.column("claims").to_pylist():
+            plain = zip(batch.column("upstream").to_pylist(), batch.column("version_comp_id").to_pylist(), strict=True)
+            for claims, (upstream, stated) in zip(batch.column("claims").to_pylist(), plain, strict=True):
                 for f in FIELDS:
-                    mine = [(weight(c["sources"]), c["m"], c["value"]) for c in claims if c["field"] == f]
+                    mine = [(weight(c["sources"], c["trust"]), c["m"], c["value"]) for c in claims if c["field"] == f]
                     total = sum(w * m for w, m, _ in mine) + max(0, sent.value.false_values + 1 - sum(m for _, m, _ in mine))
-                    best = max(mine, key=lambda c: (c[0], c[2]), default=None)
+                    best = max(mine, key=lambda c: c[0], default=None)  # the first of equals: claims come in order of rank
+                    if best is None and f == "version" and stated:
+                        fused[f].append(upstream)
+                        fused[f"{f}_posterior"].append(1.0)
+                        continue
                     fused[f].append(best and best[2])
                     fused[f"{f}_posterior"].append(best and best[0] / total)
             own = [pa.array(fused[c], pa.float64() if c.endswith("posterior") else pa.string()) for c in fused]
