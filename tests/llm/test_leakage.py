@@ -47,23 +47,65 @@ def test_line_numbers_are_marks():
     assert k.words_of("11: Every dial\n12: moves 7\n") == ["every", "dial", "moves", "7"]
 
 
-def test_suffix_array_and_matches_against_loops():
+def tail(words, p):
+    """The words from place ``p`` to the next gap."""
+    out = []
+    for w in words[p:]:
+        if w == 0:
+            break
+        out.append(int(w))
+    return out
+
+
+def common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def test_suffix_array_against_loops():
     r = np.random.default_rng(2)
-    words = r.integers(0, 5, 400).astype(np.int32)
-    keys, places = k.suffix_array(words, 3, 3)
-    tails = []
-    for p in places:
-        tail = []
-        for w in words[p:]:
-            if w == 0:
-                break
-            tail.append(int(w))
-        tails.append(tail)
-    assert tails == sorted(tails) and len(places) == sum(all(words[p : p + 3] > 0) and p + 3 <= 400 for p in range(400))
-    items = k.Items([(1, "a b c d a b"), (2, "c c a")], 3)
-    text = [items.vocabulary[w] for w in "a b c d a a b c c a".split()]
-    got = sorted(zip(*(x.tolist() for x in k.matches(np.array(text, np.int32), items)), strict=True))
-    assert got == sorted([(0, 0, 5), (5, 0, 3), (7, 7, 3)])
+    words = np.concatenate([r.integers(0, 4, 400), np.tile([1, 2, 3], 40), [0], np.tile([1, 2, 3], 40)]).astype(np.int32)
+    shard = k.SuffixArray(words, 12)
+    tails = [tail(words, p)[:12] for p in shard.order]
+    assert tails == sorted(tails) and sorted(shard.order.tolist()) == [p for p in range(len(words)) if words[p]]
+    assert shard.shared[1:].tolist() == [common(a, b) for a, b in zip(tails, tails[1:])]
+    asked = np.append(r.integers(1, 5, 60), 0).astype(np.int32)
+    places = np.arange(49)
+    at, before, behind = shard.search(asked, places)
+    for p, k_, x, y in zip(places, at, before, behind, strict=True):
+        mine = tail(asked, p)[:12]
+        assert all(t < mine for t in tails[:k_]) and all(t >= mine for t in tails[k_:])
+        assert max(x, y) == max(common(mine, t) for t in tails)
+
+
+def test_matches_against_loops():
+    r = np.random.default_rng(6)
+    items = k.Items([(i, " ".join(f"w{x}" for x in r.integers(0, 5, n))) for i, n in enumerate((2, 7, 9, 30, 45))])
+    assert items.run.tolist() == [2, 4, 3, 4, 5]
+    number = [items.vocabulary.get(f"w{x}", 0) for x in range(5)] + [0]
+    words = np.array([number[x] for x in r.integers(0, 6, 500)] + items.words[:-1].tolist(), np.int32)
+    want = set()
+    for there in np.flatnonzero(items.words):
+        run = items.run[items.item_at[there]]
+        for at in np.flatnonzero(words):
+            n = common(tail(words, at), tail(items.words, there))
+            fresh = at == 0 or there == 0 or words[at - 1] == 0 or words[at - 1] != items.words[there - 1]
+            if n >= run and fresh:
+                want.add((int(at), int(there), n))
+    for room in (4_000_000, 7):
+        got = [t for part in k.matches(words, items, room) for t in zip(*(x.tolist() for x in part), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_short_items_and_large_vocabularies(spark):
+    df = spark.createDataFrame([(1, "see alpha beta gamma there"), (2, "alpha then beta gamma"), (3, "alpha beta"), (4, "one two three four five six of ours")], "doc_id bigint, text string")
+    few = [(1, "alpha beta gamma"), (2, "one two three four five six seven eight")]
+    many = few + [(9, " ".join(f"x{i}" for i in range(40_000)))]
+    for items in (few, many):
+        got = {(r.doc_id, r.item_id) for r in k.leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+        assert got == {(1, 1), (4, 2)}
 
 
 def test_a_poor_longer_cover_hides_no_sound_one(spark):
