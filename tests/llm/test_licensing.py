@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import pytest
 
 from tuffstone.llm import licensing as lic
+from tuffstone.llm.license_texts import TEXTS
 
 SPELLINGS = {
     "GPL v2 or later": "GPL-2.0-or-later", "GPL-2": "GPL-2.0-only", "LGPLv2.1+": "LGPL-2.1-or-later", "Apache-2.0 / MIT": "Apache-2.0 OR MIT", "(MIT OR Apache-2.0)": "Apache-2.0 OR MIT", "The MIT License": "MIT",
@@ -35,6 +38,53 @@ def test_statements(text, said):
     assert {s[1] for s in lic.content_statements(text, False, lic.Templates())} == said
 
 
+def said(text, own=False):
+    return {s[1] for s in lic.content_statements(text, own, lic.Templates())}
+
+
+def test_expressions():
+    want = {
+        "MIT AND Apache-2.0": "Apache-2.0 AND MIT", "GPL-2.0 WITH Classpath-exception-2.0": "GPL-2.0-only WITH Classpath-exception-2.0", "(MIT OR Apache-2.0) AND ISC": "(Apache-2.0 OR MIT) AND ISC",
+        "GPL-2.0-or-later WITH Linux-syscall-note": "GPL-2.0-or-later WITH Linux-syscall-note", "MIT OR ISC AND Zlib": "ISC AND Zlib OR MIT", "BSD-4-Clause": "BSD-4-Clause", "0BSD": "0BSD", "Artistic-2.0": "Artistic-2.0",
+        "CC-BY-4.0": "CC-BY-4.0", "WTFPL": "WTFPL", "lgpl-2.1+": "LGPL-2.1-or-later", "LicenseRef-Some-EULA AND MIT": "LicenseRef-Some-EULA AND MIT",
+    }
+    for text, spdx in want.items():
+        assert said(f"// SPDX-License-Identifier: {text}\n") == {spdx}, text
+        assert lic.read_license(text) == spdx
+    assert lic.expression("Foo-Bar-1.0") == "Foo-Bar-1.0" and lic.expression("see below") is None and lic.expression("MIT OR") is None and lic.expression("(MIT") is None
+
+
+@pytest.mark.parametrize(("spdx", "text"), TEXTS)
+def test_public_texts(spdx, text):
+    assert said(f"Copyright (c) 2020 A. Nyone\n\n{text}\n", True) == {spdx}
+    wrapped = "\n * ".join(text.split("\n"))
+    assert said(f"/*\n * {wrapped}\n */\nint x;\n") == {spdx}
+
+
+@pytest.mark.parametrize("later", [True, False])
+@pytest.mark.parametrize(("name", "number", "spdx"), [("General", "2", "GPL-2.0"), ("General", "3", "GPL-3.0"), ("Lesser General", "2.1", "LGPL-2.1"), ("Affero General", "3", "AGPL-3.0")])
+def test_gnu_headers(name, number, spdx, later):
+    version = f"either version {number} of the\n# License, or (at your option) any later version." if later else f"version {number} of\n# the License."
+    text = f"# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU {name} Public License as published by\n# the Free Software Foundation; {version}\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY. See the GNU {name} Public License for more details.\n"
+    assert said(text) == {f"{spdx}-{'or-later' if later else 'only'}"}
+
+
+def test_altered_clauses_of_texts_are_reported():
+    text = dict(TEXTS)["MIT"].replace("without restriction, ", "").replace("sublicense, and/or sell", "sublicense")
+    (got,) = lic.content_statements(text, False, lic.Templates())
+    assert got[:2] == ("text of MIT", "MIT") and 0.9 < got[2] < 1 and got[3] == "clause 1: without restriction and / or sell"
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "CC0-1.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0"])
+def test_long_texts_of_the_machine(name):
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no license texts here")
+    number = name.split("-")[1]
+    want = name if number.endswith(".0") and "GPL" not in name else f"{name.split('-')[0]}-{number if '.' in number else number + '.0'}-only"
+    assert said(path.read_text(), True) == {want}
+
+
 def test_altered_words_are_reported():
     (got,) = lic.content_statements("released with its makers under the terms of the ISC License.", False, lic.Templates())
     assert got[2] < 1 and got[3] == "by"

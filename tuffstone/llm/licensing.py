@@ -1,9 +1,10 @@
 """The license of each code file and repository.
 
-Wording is recognised by templates: sentences with a place for a license. An inverted index of rare token
-shingles of the templates names the candidates at each place of a text; token sequence alignment confirms
-them and reports coverage and altered words. License names are read by a trie of their spellings, built by
-rule, into current SPDX ids. Remarks on other software match no template and state nothing.
+Wording is recognised by templates: license texts and standard headers, and sentences with a place for a
+license. An inverted index of rare token shingles of the templates names the candidates at each place of a text;
+token sequence alignment confirms them and reports coverage and altered clauses or words. License names are
+read by a trie of their spellings, built by rule, into current SPDX ids; ids combined with AND, OR and WITH are
+read as expressions. Remarks on other software match no template and state nothing.
 
 Only small columns leave the scan. Statements are folded to the least and greatest license of their
 subject, which tells none, one and conflict apart whatever the number of statements.
@@ -12,8 +13,9 @@ subject, which tells none, one and conflict apart whatever the number of stateme
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import product
 
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tuffstone.llm.license_texts import EXCEPTIONS, IDS, TEXTS, TITLES, gnu_headers
 from tuffstone.runtime import spread
 
 # Spellings of license names, as tokens, and the SPDX id each stands for.
@@ -62,7 +65,7 @@ TOKEN = re.compile(r"licenseref-[\w.\-]+|[a-z]+|[0-9]+(?:\.[0-9]+)*|\+|/")
 #: Comment signs at the start and the end of lines; every run is taken at once, so long runs stay cheap.
 MARKS = re.compile(r"(?m)^[ \t]*(?:/?\*+/?|//+|#+|--+>?|;+|<!--|%+|>+|\"\"\"|''')*|(?<!\*)\*+/[ \t]*\r?$|(?<!-)--+>[ \t]*\r?$")
 FIELD = re.compile(r"(?im)^[ \t]*@?(spdx-license-identifier[ \t]*:|licen[sc]e[ \t]*[:\-–][ \t]|licen[sc]e(?=[ \t]+\S)(?<=@license)|_*license_*[ \t]*=[ \t]*|module_license[ \t]*\()[ \t]*[\"'(]*([^\n\r\"';]*)")
-HINT = re.compile(r"licen[sc]e|\bterms\b|\brights\b|\bgoverned\b|\bchose\b|\bavailable\b|\bapplies\b|\bhand\b", re.IGNORECASE)
+HINT = re.compile(r"licen[sc]e|\bterms\b|\brights\b|\bgoverned\b|\bchose\b|\bavailable\b|\bapplies\b|\bhand\b|\bpermission (?:is|to)\b|redistribut|public domain", re.IGNORECASE)
 
 
 def _gnu() -> Iterator[tuple[str, str]]:
@@ -84,6 +87,97 @@ for _name, _id in (*NAMES.items(), *_gnu()):
     _node[""] = _id
 
 
+def _words(text: str) -> tuple[str, ...]:
+    return tuple(SAME_WORD.get(t, t) for t in TOKEN.findall(text.lower()))
+
+
+#: Ids that stand for themselves where an id is expected, by their tokens; ids with a number also inside sentences.
+_EXACT = {_words(i): i for i in IDS.split()}
+_EXCEPTION = {_words(i): i for i in EXCEPTIONS.split()}
+for _key, _id in _EXACT.items():
+    if len(_key) > 2 and _key[0].isalpha():
+        _node = _TRIE
+        for _token in _key:
+            _node = _node.setdefault(_token, {})
+        _node.setdefault("", _id)
+_OPERATOR = re.compile(r"(\(|\)|(?<![\w.+-])(?:and|or|with)(?![\w.+-])|/)", re.IGNORECASE)
+_FREE_ID = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*-[0-9]+(?:\.[0-9]+)*(?:-[A-Za-z0-9]+)*")
+
+
+def _single(text: str, tag: bool) -> str | None:
+    """The id of one license without operators; None unless all of ``text`` names it."""
+    tokens = list(_words(text))
+    while tokens and tokens[0] in ("the", "a", "an"):
+        tokens.pop(0)
+    if tokens and tokens[-1] == "license" and tuple(tokens) not in _EXACT:
+        tokens.pop()
+    got = _name_at(tokens, 0)
+    if got and got[1] == len(tokens):
+        return got[0] if not got[0].startswith("licenseref-") else text.strip()
+    return _EXACT.get(tuple(tokens)) or (text.strip() if tag and _FREE_ID.fullmatch(text.strip()) else None)
+
+
+def expression(text: str, tag: bool = True) -> str | None:
+    """``text`` as an SPDX expression of current ids, operands in alphabetical order; None if it isn't wholly one.
+
+    AND binds closer than OR, WITH closest. In a ``tag``, ids beyond the table are taken as spelled if they have
+    the form of one (name and version).
+    """
+    parts = [p.strip() for p in _OPERATOR.split(text) if p.strip()]
+    at = 0
+
+    def peek() -> str:
+        return parts[at].lower() if at < len(parts) else ""
+
+    def choice() -> str | None:
+        nonlocal at
+        found = []
+        while True:
+            one = union()
+            if one is None:
+                return None
+            found.append(one)
+            if peek() not in ("or", "/"):
+                break
+            at += 1
+        return " OR ".join(sorted({x for f in found for x in f.split(" OR ")}))
+
+    def union() -> str | None:
+        nonlocal at
+        found = []
+        while True:
+            one = operand()
+            if one is None:
+                return None
+            found += [one] if " OR " in one else one.split(" AND ")
+            if peek() != "and":
+                break
+            at += 1
+        return " AND ".join(sorted(f"({f})" if " OR " in f else f for f in set(found))) if len(set(found)) > 1 else found[0]
+
+    def operand() -> str | None:
+        nonlocal at
+        if peek() == "(":
+            at += 1
+            inner = choice()
+            if inner is None or peek() != ")":
+                return None
+            at += 1
+            return inner
+        if not peek() or peek() in (")", "and", "or", "with", "/"):
+            return None
+        one = _single(parts[at], tag)
+        at += 1
+        if one is not None and peek() == "with":
+            extra = _EXCEPTION.get(_words(parts[at + 1])) if at + 1 < len(parts) else None
+            at += 2
+            return f"{one} WITH {extra}" if extra else None
+        return one
+
+    got = choice()
+    return got if got is not None and at == len(parts) else None
+
+
 def tokens_of(text: str) -> list[str]:
     return [SAME_WORD.get(t, t) for t in TOKEN.findall(text.lower())]
 
@@ -136,6 +230,9 @@ def read_license(text: str | None) -> str | None:
 @lru_cache(maxsize=50_000)
 def _read(text: str) -> str:
     refs = {r.lower(): r for r in re.findall(r"LicenseRef-[\w.\-]+", text, re.IGNORECASE)}
+    whole = expression(text, tag=False)
+    if whole is not None:
+        return whole
     got = license_at(tokens_of(text), 0)
     return " OR ".join(sorted(refs.get(p, p) for p in got[0].split(" OR "))) if got else text
 
@@ -147,7 +244,7 @@ def _shingles(words: list[str], size: int = 3) -> list[tuple[int, tuple]]:
 class Templates:
     """Templates with an inverted index of their rare shingles."""
 
-    def __init__(self, sentences: list[str] = TEMPLATES, size: int = 3, rare: int = 3):
+    def __init__(self, sentences: list[str] = TEMPLATES, size: int = 3, rare: int = 3, texts: Iterable[tuple[str, str]] = ()):
         self.parts = []
         self.size = size
         index = defaultdict(set)
@@ -162,6 +259,9 @@ class Templates:
                     for at, sh in _shingles(seq, size):
                         index[sh].add((k, side, at))
         self.index = {sh: sorted(v) for sh, v in index.items() if len({k for k, _, _ in v}) <= rare}
+        self.first = {sh[0] for sh in self.index}
+        self.passages = Passages([*TEXTS, *gnu_headers(), *texts])
+        self.titles = Passages(TITLES, size=3, least=1.0)
 
     def find(self, tokens: list[str], least: float = 0.8) -> list[tuple[str, str, float, str]]:
         """(template, license, coverage, altered words) of every confirmed template."""
@@ -169,7 +269,7 @@ class Templates:
         bare = [t for _, t in words]
         out: dict[int, tuple[str, str, float, str]] = {}
         tried = set()
-        for i in range(len(bare)):
+        for i in [i for i, t in enumerate(bare) if t in self.first]:
             for size in (self.size, 2, 1):
                 for k, side, at in self.index.get(tuple(bare[i : i + size]), ()):
                     begin = i - at
@@ -177,7 +277,7 @@ class Templates:
                         continue
                     tried.add((k, begin))
                     got = self._confirm(k, begin, bare, words, tokens, least)
-                    if got and (got[0] not in out or out[got[0]][2] < got[1][2] or len(out[got[0]][0]) < len(got[1][0])):
+                    if got and (got[0] not in out or (out[got[0]][2], len(out[got[0]][0])) < (got[1][2], len(got[1][0]))):
                         out[got[0]] = got[1]
         return list(out.values())
 
@@ -215,6 +315,68 @@ class Templates:
         return None
 
 
+class Passages:
+    """License texts with an inverted index of their rare shingles.
+
+    A shingle is rare if it occurs in at most ``rare`` texts. Texts that share wording differ in how much of the
+    place they explain: of those that overlap, the one with the most matched words counts. Numbers tell versions,
+    so all of them have to match.
+    """
+
+    def __init__(self, texts: Iterable[tuple[str, str]], size: int = 4, rare: int = 8, least: float = 0.9):
+        self.least, self.size = least, size
+        self.texts = []
+        index = defaultdict(list)
+        for k, (spdx_id, text) in enumerate(texts):
+            clauses = [_words(c) for c in re.split(r"[.;:](?=\s|$)", text)]
+            words = [w for c in clauses for w in c]
+            self.texts.append((spdx_id, words, [n for n, c in enumerate(clauses) for _ in c]))
+            for at in range(len(words) - size + 1):
+                index[tuple(words[at : at + size])].append((k, at))
+        self.index = {sh: v for sh, v in index.items() if len({k for k, _ in v}) <= rare}
+        self.first = {sh[0] for sh in self.index}
+
+    def find(self, tokens: list[str]) -> list[tuple[str, str, float, str, int]]:
+        """(template, license, coverage, altered clauses, place) of every confirmed text."""
+        votes: Counter = Counter()
+        for i in [i for i, t in enumerate(tokens) if t in self.first]:
+            for k, at in self.index.get(tuple(tokens[i : i + self.size]), ()):
+                votes[k, i - at] += 1
+        if not votes:
+            return []
+        starts: dict[int, list[int]] = defaultdict(list)
+        for (k, begin), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+            # A text with words left out or put in votes for places close to each other: they are one place.
+            if all(abs(begin - b) > len(self.texts[k][1]) // 4 for b in starts[k]):
+                starts[k].append(begin)
+        hits = [h for k, begins in starts.items() for b in begins if (h := self._confirm(k, max(0, b), tokens))]
+        hits.sort(key=lambda h: (-h[0], -h[5], h[1], h[3]))
+        out: list[tuple] = []
+        for matched, begin, end, *rest in hits:
+            if all(end <= b or begin >= e for b, e, _ in out):
+                out.append((begin, end, rest))
+        return [(*rest, begin) for begin, _, rest in sorted(out)]
+
+    def _confirm(self, k: int, begin: int, tokens: list[str]):
+        spdx_id, words, clause = self.texts[k]
+        n = len(words)
+        if tokens[begin : begin + n] == words:
+            return n, begin, begin + n, f"text of {spdx_id}", spdx_id, 1.0, ""
+        low = max(0, begin - n // 4)
+        part = tokens[low : begin + n + n // 4 + 8]
+        blocks = SequenceMatcher(None, words, part, autojunk=False).get_matching_blocks()
+        got = {b.a + j for b in blocks for j in range(b.size)}
+        missing = [j for j in range(n) if j not in got]
+        if len(got) < self.least * n or any(words[j][0].isdigit() and len(words[j]) > 0 and "version" in words[max(0, j - 2) : j] for j in missing):
+            return None
+        altered: dict[int, list[str]] = defaultdict(list)
+        for j in missing:
+            altered[clause[j]].append(words[j])
+        said = "; ".join(f"clause {c + 1}: {' '.join(w)}" for c, w in altered.items())
+        ends = [b for b in blocks if b.size]
+        return len(got), low + ends[0].b, low + ends[-1].b + ends[-1].size, f"text of {spdx_id}", spdx_id, len(got) / n, said
+
+
 def aligned(template: list[str], text: list[str]) -> set[int]:
     """Places of ``template`` matched in the longest common subsequence with ``text``."""
     n, m = len(template), len(text)
@@ -245,12 +407,22 @@ def content_statements(content: str | None, is_license_file: bool, templates: Te
     bare = MARKS.sub("", content)
     out = []
     for m in FIELD.finditer(bare):
+        field = m[1].strip(" \t:=-(@_").lower()
+        tag = field.startswith("spdx")
+        whole = expression((bare[m.end(1) : m.end(2)] if tag else m[2]).strip(" \t\"'*/"), tag)
+        if whole is not None:
+            out.append((field, whole, 1.0, ""))
+            continue
         tokens = tokens_of(m[2])
         got = license_at(tokens, 0)
         if got:
-            out.append((m[1].strip(" \t:=-(@_").lower(), got[0], 1.0, " ".join(tokens[got[1] :])))
-    out += templates.find(tokens_of(bare))
-    if is_license_file:
+            out.append((field, got[0], 1.0, " ".join(tokens[got[1] :])))
+    tokens = tokens_of(bare)
+    titles = templates.titles.find(tokens[:200]) if is_license_file else []
+    # Behind the title of a long text its own wording, examples included, states nothing more.
+    out += [t[:4] for t in titles or templates.passages.find(tokens)]
+    out += [] if titles else templates.find(tokens)
+    if is_license_file and not titles:
         title = next((line for line in bare.splitlines() if line.strip()), "")
         tokens = tokens_of(title)
         got = license_at(tokens, 0)
