@@ -49,6 +49,9 @@ def test_pairs_against_loops(spark):
     forms = {i: form(t) for i, t, _ in rows if t is not None}
     want = {(a, b) for a, b in combinations(sorted(forms), 2) if forms[a] == forms[b] and texts[a] != texts[b] and forms[a].strip(" ")}
     assert got == want
+    assert {tuple(r) for r in h.same_look_pairs(df, block=1).collect()} == want
+    linked = {r.doc_id: r.n_links for r in h.look_classes(df).collect()}
+    assert linked == {i: sum(forms[j] == f and texts[j] != texts[i] for j in forms) for i, f in forms.items()}
     classes = {r.doc_id: r.class_id for r in h.look_classes(df).collect()}
     assert classes == {i: min(j for j in forms if forms[j] == f) for i, f in forms.items()}
     assert h.same_look_pairs(df.limit(0)).count() == 0

@@ -157,33 +157,64 @@ def canonical(df: DataFrame, words: int = 100_000) -> DataFrame:
     return spread(df.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, form string, form_key string, raw_key string")
 
 
+HOT_SHARE = 1000
+PARTS = 64
+
+
+def _hot(counted: DataFrame, key: str) -> DataFrame:
+    """The keys of ``counted(key, n)`` that hold more than a thousandth of all rows: fewer than a thousand of them."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return counted.where(F.col("n") > total / HOT_SHARE).select(key)
+
+
+def _with_key_rows(rows: DataFrame, by_key: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``by_key`` (one row a key); rows of ``hot`` keys stay where they are."""
+    few = by_key.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(by_key.join(F.broadcast(hot), key, "left_anti"), key))
+
+
 def look_classes(df: DataFrame, words: int = 100_000) -> DataFrame:
-    """One row per document with text: ``(doc_id, class_id, n_spellings, is_canonical)``.
+    """One row per document with text: ``(doc_id, class_id, n_spellings, n_links, is_canonical)``.
 
-    ``class_id`` is the smallest doc_id of those that look the same, exact copies included. Aggregates
-    combine before the shuffle, so a class may hold any share of the rows.
+    ``class_id`` is the smallest doc_id of those that look the same, exact copies included; ``n_links`` counts
+    the documents of the class that are other strings. Aggregates combine before the shuffle and the few classes
+    that hold a large share of the rows are broadcast, so a class may hold any share of them.
     """
-    docs = canonical(df, words).where(F.col("form_key").isNotNull()).select("doc_id", "form_key", "raw_key")
-    by_text = docs.groupBy("form_key", "raw_key").agg(F.min("doc_id").alias("class_id"))
-    classes = by_text.groupBy("form_key").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n_spellings"))
-    return docs.join(classes, "form_key").select("doc_id", "class_id", "n_spellings", (F.col("form_key") == F.col("raw_key")).alias("is_canonical"))
+    docs = cut(canonical(df, words).where(F.col("form_key").isNotNull()).select("doc_id", "form_key", "raw_key"))
+    by_text = docs.groupBy("form_key", "raw_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
+    classes = by_text.groupBy("form_key").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n_spellings"), F.sum("n_copies").alias("n"))
+    copies = by_text.select("raw_key", "n_copies")
+    joined = _with_key_rows(docs, classes, "form_key", _hot(classes, "form_key"))
+    joined = _with_key_rows(joined, copies, "raw_key", _hot(copies.withColumnRenamed("n_copies", "n"), "raw_key"))
+    return joined.select("doc_id", "class_id", "n_spellings", (F.col("n") - F.col("n_copies")).alias("n_links"), (F.col("form_key") == F.col("raw_key")).alias("is_canonical"))
 
 
-def same_look_pairs(df: DataFrame, words: int = 100_000) -> DataFrame:
+def same_look_pairs(df: DataFrame, words: int = 100_000, block: int = 500) -> DataFrame:
     """``(doc_id_a, doc_id_b)``, a < b: documents that look the same but are different strings.
 
     Spellings of a class are paired, not documents; copies are put back at the end, so plain copies never
-    meet each other. Repeated rows of one doc_id give no pair with themselves; texts of blanks are left out.
+    meet each other. Classes of many spellings are paired in blocks of some ``block``, and the documents of a
+    spelling that holds a large share of the rows are spread over several parts. Repeated rows of one doc_id give
+    no pair with themselves; texts of blanks are left out.
     """
     docs = canonical(df, words).where(F.col("form_key").isNotNull() & (F.trim("form") != "")).select("doc_id", "form_key", "raw_key")
     docs = cut(docs)
     spellings = docs.groupBy("form_key", "raw_key").agg(F.count("*").alias("n"))
-    several = spellings.groupBy("form_key").agg(F.min("raw_key").alias("least"), F.max("raw_key").alias("most")).where("least <> most").select("form_key")
-    mixed = spellings.join(several, "form_key", "left_semi")
-    a = mixed.select("form_key", F.col("raw_key").alias("raw_a"))
-    b = mixed.select("form_key", F.col("raw_key").alias("raw_b"))
-    pairs = a.join(b, "form_key").where("raw_a < raw_b").select("raw_a", "raw_b")
-    of_a = docs.select(F.col("raw_key").alias("raw_a"), F.col("doc_id").alias("x"))
-    of_b = docs.select(F.col("raw_key").alias("raw_b"), F.col("doc_id").alias("y"))
-    both = pairs.join(of_a, "raw_a").join(of_b, "raw_b").where("x <> y")
+    several = spellings.groupBy("form_key").agg(F.count("*").alias("k")).where("k > 1")
+    mixed = cut(spellings.join(several, "form_key").withColumn("blocks", F.ceil(F.col("k") / block).cast("int")))
+    mixed = mixed.withColumn("mine", F.pmod(F.xxhash64("raw_key"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = mixed.select("form_key", F.col("raw_key").alias("raw_a"), F.col("mine").alias("row"), F.explode(every).alias("column"))
+    b = mixed.select("form_key", F.col("raw_key").alias("raw_b"), F.col("mine").alias("column"), F.explode(every).alias("row"))
+    pairs = a.join(b, ["form_key", "row", "column"]).where("raw_a < raw_b").select("raw_a", "raw_b")
+    hot = _hot(mixed.select("raw_key", "n"), "raw_key").withColumn("hot", F.lit(True))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).otherwise(0)
+    known = docs.join(F.broadcast(hot), "raw_key", "left").withColumn("part", part)
+
+    def side(name: str, raw: str, of: DataFrame) -> DataFrame:
+        parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+        spread_ = of.join(F.broadcast(hot.withColumnRenamed("raw_key", raw)), raw, "left").withColumn("part", F.explode(parts)).drop("hot")
+        return spread_.join(known.select(F.col("raw_key").alias(raw), "part", F.col("doc_id").alias(name)), [raw, "part"]).drop(raw, "part")
+
+    both = side("y", "raw_b", side("x", "raw_a", pairs)).where("x <> y")
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
