@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tuffstone.functions.scoring import canonical_cve, cvss_base_score, cvss_rank, high_signal
 from tuffstone.functions.text import stripped
 from tuffstone.functions.versions import version_key
-from tuffstone.operators.nested import flatten_advisories
+from tuffstone.operators.nested import advisory_ranges
+from tuffstone.runtime import largest_keys, salted
 
 # How a component source names the ecosystem of its advisories.
 SOURCE_ECOSYSTEM = {"npm": "npm", "pypi": "PyPI", "golang": "Go", "cargo": "crates.io", "composer": "Packagist", "gem": "RubyGems"}
 RPM_ECOSYSTEM = {"rhel": "Red Hat", "redhat": "Red Hat", "red hat": "Red Hat", "centos": "Red Hat", "fedora": "Red Hat", "rocky": "Rocky Linux", "almalinux": "AlmaLinux", "alma": "AlmaLinux", "sles": "SUSE", "sled": "SUSE", "suse": "SUSE"}
 
+BOUNDS = ("ver", "si", "se", "ei", "ee")
 EVENTS = "array<struct<type:string,value:string,vkey:string>>"
 
 
@@ -69,28 +71,12 @@ def ingest_osv(raw: DataFrame) -> DataFrame:
     characters and '...' beyond 160. The release follows the colon of the ecosystem. Ranges of any type are
     kept; ``versions`` lists are ignored, and paid tiers of an ecosystem (FIPS) are dropped.
     """
-    key = ["raw_id", "vuln_pos"]
-    records = flatten_advisories(raw, "records")
-    alias = flatten_advisories(raw, "aliases").where(F.col("alias").startswith("CVE-")).groupBy(*key).agg(F.min_by("alias", "alias_pos").alias("cve"))
-    sev = flatten_advisories(raw, "severities").groupBy(*key).agg(F.min_by("score", "severity_pos").alias("sev"))
-    affected = flatten_advisories(raw, "affected").where("eco is not null and pkg is not null")
-    step = [*key, "affected_pos"]
-    events = flatten_advisories(raw, "events").withColumn("rank", F.when(F.col("ev_type") == "i", 0).when(F.col("ev_type") == "f", 1).otherwise(2))
-    ranges = events.groupBy(*step, "range_pos").agg(F.array_sort(F.collect_list(F.struct("event_pos", "rank", F.col("ev_type").alias("type"), F.col("ev_value").alias("value")))).alias("e"))
     text = F.coalesce("summary", "details")
-    head = records.join(alias, key, "left").join(sev, key, "left").select(
-        *key,
-        canonical_cve(F.coalesce("cve", "id")).alias("id"),
-        "sev",
-        F.col("rel").alias("given_rel"),
-        F.when(F.length(text) > 160, F.concat(F.substring(text, 1, 157), F.lit("..."))).otherwise(text).alias("summary"),
-    )
     eco = F.split("eco", ":")
     release = numeric_release(F.when(F.size(eco) > 1, F.array_join(F.slice(eco, 2, F.size(eco)), ":")))
-    rows = ranges.join(affected, step).join(head, key).where(~F.col("eco").contains("FIPS"))
-    return rows.select(
-        "raw_id", "vuln_pos", "affected_pos", "range_pos", F.get(eco, 0).alias("eco"), "pkg", "id", "sev", F.coalesce("given_rel", release).alias("rel"), "summary",
-        F.transform("e", lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"))).alias("events"),
+    return advisory_ranges(raw).where(~F.col("eco").contains("FIPS")).select(
+        "raw_id", "vuln_pos", "affected_pos", "range_pos", F.get(eco, 0).alias("eco"), "pkg", canonical_cve(F.coalesce("cve", "id")).alias("id"), "sev", F.coalesce("rel", release).alias("rel"),
+        F.when(F.length(text) > 160, F.concat(F.substring(text, 1, 157), F.lit("..."))).otherwise(text).alias("summary"), "events",
     )
 
 
@@ -118,13 +104,14 @@ def with_distro(components: DataFrame, images: DataFrame) -> DataFrame:
     return joined.withColumn("eco", source_ecosystem(F.col("source"), distro)).withColumn("release", F.coalesce(release, F.lit("")))
 
 
-def osv_join(components: DataFrame, index: DataFrame, salts: int = 16) -> DataFrame:
+def osv_join(components: DataFrame, index: DataFrame, salts: int = 16, sizes: DataFrame | None = None) -> DataFrame:
     """Matches of components with eco and release against an index: ``(component, purl, cve_id, severity, basis, summary)``.
 
     Components are folded to distinct (eco, name, version, release) before the join, so a package found in
     many images is matched once; releases must agree only where both are known. One row per component and
-    advisory: the smallest basis, then severity, is kept. The advisories of a package lie in ``salts``
-    parts, each met by the versions of the package, so one package may hold any share of either table.
+    advisory: the smallest basis, then severity, is kept. The advisories of the largest packages lie in ``salts``
+    parts, each met by the versions of the package, so one package may hold any share of either table; ``sizes(eco,
+    pkg)`` may give the rows to find these packages by, where ``index`` is costly to read twice.
     """
     wanted = components.where("eco is not null and coalesce(name, '') <> '' and coalesce(version, '') <> ''")
     distinct = wanted.groupBy("eco", "name", "version", "release").agg(F.min("purl").alias("purl")).withColumn("vkey", version_key(F.col("version")))
@@ -132,8 +119,9 @@ def osv_join(components: DataFrame, index: DataFrame, salts: int = 16) -> DataFr
     if "vkey" not in dict(index.dtypes)["events"]:
         advisories = advisories.join(distinct.select("eco", "name").distinct(), ["eco", "name"], "left_semi").withColumn("events", keyed_events(F.col("events")))
     known = distinct.join(advisories.select("eco", "name").distinct(), ["eco", "name"], "left_semi")
-    parts = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    both = parts.join(advisories.withColumn("salt", F.pmod(F.xxhash64("id", "rel"), F.lit(salts)).cast("int")), ["eco", "name", "salt"]).where("release = '' or rel = '' or release = rel").where(is_affected(F.col("vkey"), F.col("events")))
+    hot = largest_keys((index if sizes is None else sizes).select("eco", F.col("pkg").alias("name")), ["eco", "name"])
+    parts, held = salted(known, hot, ["eco", "name"], salts, None), salted(advisories, hot, ["eco", "name"], salts, ["id", "rel"])
+    both = parts.join(held, ["eco", "name", "salt"]).where("release = '' or rel = '' or release = rel").where(is_affected(F.col("vkey"), F.col("events")))
     precise = (F.col("release") != "") & (F.col("rel") != "")
     basis = F.concat(F.lit("exact-range ("), "eco", F.when(precise, F.concat(F.lit(":"), F.col("rel"))).otherwise(""), F.lit(")"))
     rows = both.select(F.concat_ws("@", "name", "version").alias("component"), "purl", F.col("id").alias("cve_id"), F.coalesce("sev", F.lit("")).alias("severity"), basis.alias("basis"), F.coalesce("summary", F.lit("")).alias("summary"))
@@ -147,19 +135,31 @@ def cpe_part(cpe: Column, field: int) -> Column:
     return F.when(F.size(parts) >= 6, F.nullif(F.get(parts, field), F.lit("")))
 
 
-def nvd_join(components: DataFrame, entries: DataFrame) -> DataFrame:
-    """Matches of components with a platform name against vendor and product ranges; columns as ``osv_join``."""
+def nvd_bounds(entries: DataFrame) -> DataFrame:
+    """Distinct ranges of an advisory table: (vendor, product, id, cvss), each bound and the version key of each bound."""
+    bare = lambda c: F.nullif(stripped(F.col(c)), F.lit(""))
+    return entries.select("vendor", "product", "id", "cvss", *[bare(c).alias(c) for c in BOUNDS], *[version_key(bare(c)).alias(f"{c}_key") for c in BOUNDS]).distinct()
+
+
+def in_bounds(v: Column) -> Column:
+    """Whether a version key lies in the range of a row of ``nvd_bounds``: its one version, or between its ends."""
+    low = (F.col("si").isNull() | (v >= F.col("si_key"))) & (F.col("se").isNull() | (v > F.col("se_key")))
+    high = (F.col("ei").isNull() | (v <= F.col("ei_key"))) & (F.col("ee").isNull() | (v < F.col("ee_key")))
+    return F.when(F.col("ver").isNotNull(), v == F.col("ver_key")).otherwise(low & high)
+
+
+def nvd_join(components: DataFrame, entries: DataFrame, salts: int = 16) -> DataFrame:
+    """Matches of components with a platform name against vendor and product ranges; columns as ``osv_join``.
+
+    The ranges of the largest products lie in ``salts`` parts, each met by the versions of the product.
+    """
     known = components.withColumn("vendor", cpe_part(F.col("cpe"), 3)).withColumn("product", cpe_part(F.col("cpe"), 4))
     wanted = known.where("vendor is not null and product is not null and coalesce(version, '') <> ''")
     distinct = wanted.groupBy("vendor", "product", F.coalesce("name", F.lit("")).alias("name"), "version").agg(F.min("purl").alias("purl"), F.max(F.coalesce("fork", F.lit(""))).alias("fork"))
     distinct = distinct.withColumn("vkey", version_key(F.col("version")))
-    key = lambda c: version_key(F.nullif(stripped(c), F.lit("")))
-    bounds = entries.select("vendor", "product", "id", "cvss", *[F.nullif(stripped(F.col(c)), F.lit("")).alias(c) for c in ("ver", "si", "se", "ei", "ee")], *[key(F.col(c)).alias(f"{c}_key") for c in ("ver", "si", "se", "ei", "ee")]).distinct()
-    v = F.col("vkey")
-    inside = F.when(F.col("ver").isNotNull(), v == F.col("ver_key")).otherwise(
-        (F.col("si").isNull() | (v >= F.col("si_key"))) & (F.col("se").isNull() | (v > F.col("se_key"))) & (F.col("ei").isNull() | (v <= F.col("ei_key"))) & (F.col("ee").isNull() | (v < F.col("ee_key")))
-    )
-    both = distinct.join(bounds, ["vendor", "product"]).where(inside)
+    hot = largest_keys(entries, ["vendor", "product"])
+    parts, held = salted(distinct, hot, ["vendor", "product"], salts, None), salted(nvd_bounds(entries), hot, ["vendor", "product"], salts, ["id", "ver", "si", "ei"])
+    both = parts.join(held, ["vendor", "product", "salt"]).where(in_bounds(F.col("vkey")))
     open_below = F.col("ver").isNull() & F.col("si").isNull() & F.col("se").isNull()
     fork = F.col("fork") != ""
     note = F.when(fork & open_below, F.concat(F.lit(" ["), "fork", F.lit("; range lower-bound unknown -- verify]"))).otherwise("")
@@ -195,9 +195,11 @@ def annotate(matches: DataFrame, kev: DataFrame, epss: DataFrame) -> DataFrame:
     likely = epss.groupBy("cve_id").agg(F.max("epss").alias("epss"))
     both = matches.join(exploited, "cve_id", "left").join(likely, "cve_id", "left")
     both = both.withColumn("kev", F.coalesce("kev", F.lit(False))).withColumn("epss", F.coalesce("epss", F.lit(-1.0)))
-    scores = matches.select("severity").distinct().withColumn("score", cvss_base_score(F.col("severity")))
     gate = high_signal(F.col("severity"), F.col("score"), F.col("kev"), F.col("epss"), F.col("fork"), F.col("unbounded_below"))
-    return both.join(scores, "severity").withColumn("high", gate)
+    # Vectors repeat, so each is scored once; no vector, and any common one, falls into 16 parts.
+    scores = matches.select("severity").distinct().withColumn("score", cvss_base_score(F.col("severity"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    parts = both.withColumn("salt", F.pmod(F.xxhash64("component", "cve_id"), F.lit(16)).cast("int"))
+    return parts.join(scores, ["severity", "salt"]).drop("salt").withColumn("high", gate)
 
 
 def worst_first(matches: DataFrame, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ import binascii
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,10 +53,18 @@ def password_files(files: DataFrame) -> DataFrame:
     empty hash gives none.
     """
     name = basename(F.col("path"))
-    lines = files.where(name.isin("shadow", "htpasswd", ".htpasswd")).select("path", (name == "shadow").alias("shadow"), F.split("content", "\n").alias("lines"))
-    sized = F.transform(F.col("lines"), lambda x: F.octet_length(x) + 1)
-    at = F.transform(F.col("lines"), lambda x, i: F.struct(x.alias("line"), F.aggregate(F.slice(sized, 1, i), F.lit(0), lambda a, b: a + b).alias("at")))
-    line = lines.select("path", "shadow", F.explode(at).alias("l")).select("path", "shadow", F.regexp_replace("l.line", "\r$", "").alias("line"), F.col("l.at").alias("at"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, shadow, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = text.encode().split(b"\n")
+                ends = accumulate((len(x) + 1 for x in lines), initial=0)
+                at = pa.array(list(ends)[:-1], pa.int64())
+                texts = pa.array([x.decode().removesuffix("\r") for x in lines], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array([shadow] * len(lines), pa.bool_()), texts, at], ["path", "shadow", "line", "at"])
+
+    named = files.where(name.isin("shadow", "htpasswd", ".htpasswd") & F.col("content").isNotNull()).select("path", (name == "shadow").alias("shadow"), "content")
+    line = named.mapInArrow(split, "path string, shadow boolean, line string, at bigint")
     parts = line.where(~F.col("line").startswith("#") & F.col("line").contains(":")).select(
         "path", "shadow", "at", F.get(F.split("line", ":"), 0).alias("user"),
         F.when(F.col("shadow"), F.get(F.split("line", ":"), 1)).otherwise(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("hash"),

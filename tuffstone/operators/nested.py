@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -181,3 +182,62 @@ def flatten_advisories(df: DataFrame, name: str) -> DataFrame:
             yield from _flatten(batch.column("raw_id"), decoded, name).to_batches()
 
     return df.select("raw_id", "body").mapInArrow(run, schema_of(name))
+
+
+INDEX = "raw_id bigint, vuln_pos int, affected_pos int, range_pos int, eco string, pkg string, id string, cve string, sev string, rel string, summary string, details string, events array<struct<type:string,value:string>>"
+
+
+def _first(keys: pa.Array, values: pa.Array, n: int) -> pa.Array:
+    """The first of ``values`` for each parent number 0..n-1 in ``keys`` (ascending); null for none."""
+    parents, at = np.unique(keys.to_numpy(), return_index=True)
+    place = np.full(n, -1, np.int64)
+    place[parents] = at
+    return values.take(pa.array(place, mask=place < 0))
+
+
+def _of_records(records: pa.Array) -> dict[str, pa.Array]:
+    """Fields of each record, with its first CVE alias and the score of its first severity."""
+    n = len(records)
+    alias_of, alias = pc.list_parent_indices(pc.struct_field(records, "aliases")), pc.list_flatten(pc.struct_field(records, "aliases"))
+    named = pc.fill_null(pc.starts_with(alias, "CVE-"), False)
+    sev_of, sev = pc.list_parent_indices(pc.struct_field(records, "severity")), pc.list_flatten(pc.struct_field(records, "severity"))
+    told = pc.is_valid(sev)
+    own = {f: pc.struct_field(records, f) for f in ("id", "rel", "summary", "details")}
+    return own | {"cve": _first(alias_of.filter(named), alias.filter(named), n), "sev": _first(sev_of.filter(told), pc.struct_field(sev.filter(told), "score"), n)}
+
+
+def _event_lists(events: pa.Array) -> pa.Array:
+    """Lists of (type, value) in place of lists of event objects; an object with several values gives one each."""
+    items, of, n = pc.list_flatten(events), pc.list_parent_indices(events).to_numpy(), len(pc.list_flatten(events))
+    kinds = ("i", "f", "l")
+    order = (np.arange(n)[:, None] + n * np.arange(len(kinds))).ravel()
+    values = pa.concat_arrays([pc.struct_field(items, k) for k in kinds]).take(pa.array(order))
+    there = pc.is_valid(values)
+    types = pa.array(np.tile(np.array(kinds, dtype=object), n), TEXT).filter(there)
+    counts = np.bincount(np.repeat(of, len(kinds))[there.to_numpy(zero_copy_only=False)], minlength=len(events))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([types, values.filter(there)], ["type", "value"]))
+
+
+def advisory_ranges(df: DataFrame) -> DataFrame:
+    """One row ``INDEX`` per range with events of the JSON bodies in ``df(raw_id, body)``.
+
+    Each body is decoded once and everything above a range is carried down to it, so no join is needed.
+    ``cve`` is the first alias that is a CVE number, ``sev`` the score of the first severity. Unreadable, empty and
+    null bodies give no rows; packages without ecosystem or name neither.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in INDEX.split(", ")]
+        for batch in batches:
+            decoded = pa.array((decode_body(b) for b in batch.column("body").to_pylist()), BODY, size=len(batch))
+            keys, records = descend({"raw_id": batch.column("raw_id")}, decoded, "vuln_pos")
+            keys, affected = descend(keys | _of_records(records), pc.struct_field(records, "affected"), "affected_pos")
+            keys |= {"eco": pc.struct_field(affected, "eco"), "pkg": pc.struct_field(affected, "pkg")}
+            keys, ranges = descend(keys, pc.struct_field(affected, "ranges"), "range_pos")
+            events = _event_lists(pc.struct_field(ranges, "events"))
+            rows = pa.table(keys | {"events": events}).select(names)
+            known = pc.and_(pc.and_(pc.is_valid(rows["eco"]), pc.is_valid(rows["pkg"])), pc.greater(pc.list_value_length(rows["events"]), 0))
+            yield from rows.filter(known).to_batches()
+
+    return df.select("raw_id", "body").mapInArrow(run, INDEX)

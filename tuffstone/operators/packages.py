@@ -190,16 +190,23 @@ def banner_components(files: DataFrame, monolithic: Column | None = None) -> Dat
     whole = F.coalesce(monolithic, F.lit(False)) if monolithic is not None else F.lit(False)
     found = []
     for name, pattern, vendor, product, safe in BANNERS:
-        both = F.lit(f"(?s){pattern}([^\\x00\\s]{{0,32}})")
-        zipped = F.arrays_zip(F.regexp_extract_all(text, both, 1).alias("version"), F.regexp_extract_all(text, both, 2).alias("tail"))
+        both = f"(?s){pattern}([^\\x00\\s]{{0,32}})"
+        zipped = _groups(F.regexp_extract_all(text, F.lit(both), 0), both)
         as_rows = _banner_rows(zipped, name, vendor, product)
         found.append(F.when(elf | (whole if safe else F.lit(False)), as_rows).otherwise(F.array().cast("array<struct<name:string,version:string,tail:string,vendor:string,product:string>>")))
-    got = files.where(F.col("content").isNotNull()).select("path", F.explode(F.flatten(F.array(*found))).alias("b")).select("path", "b.*")
+    # One pass tells the few files that hold any banner at all.
+    any_banner = text.rlike("(?s)" + "|".join(f"(?:{b[1]})" for b in BANNERS))
+    got = files.where(F.col("content").isNotNull() & any_banner).select("path", F.explode(F.flatten(F.array(*found))).alias("b")).select("path", "b.*")
     one = got.groupBy("path", "name", "version", "vendor", "product").agg(F.min(fork_label(F.col("tail"))).alias("fork"))
     cpe = F.concat_ws(":", F.lit("cpe:2.3:a"), "vendor", "product", "version", F.lit("*:*:*:*:*:*:*"))
     return _rows(one, path=F.col("path"), name=F.col("name"), version=F.col("version"), purl=purl("generic", F.col("name"), F.col("version")), cpe=cpe, source=F.lit("binary-version"), confidence=F.lit(70), evidence=F.lit("version banner"), fork=F.col("fork"))
 
 
+def _groups(hits: Column, pattern: str) -> Column:
+    """(version, tail) of texts that ``pattern`` matched."""
+    return F.transform(hits, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("version"), F.regexp_extract(m, pattern, 2).alias("tail")))
+
+
 def _banner_rows(zipped: Column, name: str, vendor: str, product: str) -> Column:
     return F.transform(zipped, lambda m: F.struct(F.lit(name).alias("name"), m["version"].alias("version"), m["tail"].alias("tail"), F.lit(vendor).alias("vendor"), F.lit(product).alias("product")))
 
@@ -300,6 +307,11 @@ def first_components(components: DataFrame, rank: Column, *order: str) -> DataFr
 
 
 def newest_per_name(components: DataFrame, n: int = 1) -> DataFrame:
-    """The ``n`` first rows of each name in order of scan time."""
-    w = Window.partitionBy("name").orderBy(F.col("scanned_at").desc_nulls_last(), "comp_id")
-    return components.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    """The ``n`` first rows of each name in order of scan time.
+
+    Rows are ranked in 16 parts of a name first, so a name may hold any share of them.
+    """
+    order = [F.col("scanned_at").desc_nulls_last(), F.col("comp_id")]
+    part = F.pmod(F.xxhash64("comp_id"), F.lit(16))
+    first = components.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("name", "part").orderBy(*order))).where(F.col("rank") <= n)
+    return first.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(*order))).where(F.col("rank") <= n)

@@ -9,6 +9,7 @@ from tuffstone.functions import scoring
 from tuffstone.functions.text import stripped
 from tuffstone.functions.versions import version_key, version_key_sql
 from tuffstone.operators import advisories as adv
+from tuffstone.plans.data_queries import OSV_INGEST
 from tuffstone.runtime import table
 
 
@@ -44,7 +45,7 @@ def ecosystem_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def _osv(spark: SparkSession, sf: str) -> DataFrame:
     c = adv.with_distro(table(spark, sf, "components"), table(spark, sf, "images"))
-    return adv.osv_join(c, adv.latest_index(table(spark, sf, "osv_index"), keyed=False))
+    return adv.osv_join(c, adv.latest_index(table(spark, sf, "osv_index"), keyed=False), sizes=table(spark, sf, "osv_index"))
 
 
 def _nvd(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,6 +170,7 @@ gated as (select *, kev or (not (fork and unbounded_below) and (score >= 9 or (s
 )
 
 ORACLE = {
+    "osv_ingest": OSV_INGEST,
     "version_order": f"select name, arg_max(version, row(k, version)) as newest, count(*) as n from (select name, version, {version_key_sql('version')} as k from components where version is not null and name is not null) group by name",
     "cvss_score": f"with vectors as (select distinct v from (select cvss as v from nvd_entries union all select sev from osv_index)), sc as {_SCORE} select v as vector, cast(score as double) as score, richness from sc",
     "canonical_ids": "select coalesce(nullif(regexp_extract(upper(bare(id)), 'CVE-[0-9]+-[0-9]+'), ''), upper(bare(id))) as cve_id, count(*) as n from osv_index group by 1",

@@ -83,6 +83,35 @@ o as (
   union all select raw_id, vuln_pos, 0, 0, event_pos, left(lower(json_extract_string(j, '$[0]')), 1), json_extract_string(j, '$[1]') from x where json_type(j) = 'ARRAY')
 """
 
+_FULL = "select raw_id, vuln_pos, json_extract(j,"
+_FULL_ONLY = "json_type(j) = 'OBJECT' and not (json_extract(j, '$.ev') is not null and json_extract(j, '$.affected') is null)"
+_P2_ALIASES = (
+    _P2
+    + f""", {_level("ax", f"({_FULL} '$.aliases') as j from v where {_FULL_ONLY})", "raw_id, vuln_pos", "j", "alias_pos")},
+al as (select raw_id, vuln_pos, alias_pos, json_extract_string(j, '$') as alias from ax where json_type(j) not in ('OBJECT', 'ARRAY', 'NULL'))
+"""
+)
+_P2_SEVERITIES = (
+    _P2_ALIASES
+    + f""", {_level("sx", f"({_FULL} '$.severity') as j from v where {_FULL_ONLY})", "raw_id, vuln_pos", "j", "severity_pos")},
+sv as (select raw_id, vuln_pos, severity_pos, nullif(json_extract_string(j, '$.type'), '') as type, nullif(json_extract_string(j, '$.score'), '') as score from sx where json_type(j) = 'OBJECT'
+  union all select raw_id, vuln_pos, 0, null, json_extract_string(j, '$.sev') from v where json_type(j) = 'OBJECT' and json_extract(j, '$.ev') is not null and json_extract(j, '$.affected') is null and json_extract_string(j, '$.sev') <> '')
+"""
+)
+OSV_INGEST = (
+    _P2_SEVERITIES
+    + """, rec as (select raw_id, vuln_pos, nullif(json_extract_string(j, '$.id'), '') as id, nullif(json_extract_string(j, '$.rel'), '') as rel from v where json_type(j) = 'OBJECT'),
+pk as (select raw_id, vuln_pos, affected_pos, nullif(json_extract_string(j, '$.package.ecosystem'), '') as eco, nullif(json_extract_string(j, '$.package.name'), '') as pkg from a where json_type(j) = 'OBJECT'
+  union all select raw_id, vuln_pos, 0, nullif(json_extract_string(j, '$.eco'), ''), nullif(json_extract_string(j, '$.pkg'), '') from v where json_type(j) = 'OBJECT' and json_extract(j, '$.ev') is not null and json_extract(j, '$.affected') is null),
+rg as (select raw_id, vuln_pos, affected_pos, range_pos, count(*) as n from o where ev_value <> '' group by all),
+cv as (select raw_id, vuln_pos, arg_min(alias, alias_pos) as cve from al where alias like 'CVE-%' group by all),
+ix as (select split_part(eco, ':', 1) as eco, n, coalesce(nullif(regexp_extract(coalesce(cve, id), 'CVE-[0-9]+-[0-9]+'), ''), coalesce(cve, id)) as id,
+         nullif(substr(eco, length(split_part(eco, ':', 1)) + 2), '') as tail, rel, position(':' in eco) > 0 as released
+  from rg join pk using (raw_id, vuln_pos, affected_pos) join rec using (raw_id, vuln_pos) left join cv using (raw_id, vuln_pos) where eco not like '%FIPS%' and pkg is not null)
+select eco, coalesce(rel, case when released then coalesce(nullif(regexp_extract(tail, '[0-9][0-9][.][0-9][0-9]'), ''), tail) end) as rel, count(*) as n_ranges, count(distinct id) as n_ids, sum(n) as n_events from ix group by all
+"""
+)
+
 ORACLE = {
     "p2_records": _P2
     + """, f as (select *, json_extract(j, '$.ev') is not null and json_extract(j, '$.affected') is null as ix from v where json_type(j) = 'OBJECT')
@@ -91,6 +120,14 @@ ORACLE = {
     "p2_affected": _P2
     + """select raw_id, vuln_pos, affected_pos, nullif(json_extract_string(j, '$.package.ecosystem'), '') as eco, nullif(json_extract_string(j, '$.package.name'), '') as pkg, nullif(json_extract_string(j, '$.package.purl'), '') as purl from a where json_type(j) = 'OBJECT'
       union all select raw_id, vuln_pos, 0, nullif(json_extract_string(j, '$.eco'), ''), nullif(json_extract_string(j, '$.pkg'), ''), null from v where json_type(j) = 'OBJECT' and json_extract(j, '$.ev') is not null and json_extract(j, '$.affected') is null""",
+    "p2_aliases": _P2_ALIASES + "select raw_id, vuln_pos, alias_pos, alias from al where alias <> ''",
+    "p2_severities": _P2_SEVERITIES + "select raw_id, vuln_pos, severity_pos, type, score from sv",
+    "p2_references": _P2
+    + f""", {_level("rf", f"({_FULL} '$.references') as j from v where {_FULL_ONLY})", "raw_id, vuln_pos", "j", "reference_pos")}
+      select raw_id, vuln_pos, reference_pos, nullif(json_extract_string(j, '$.type'), '') as type, nullif(json_extract_string(j, '$.url'), '') as url from rf where json_type(j) = 'OBJECT'""",
+    "p2_versions": _P2
+    + f""", {_level("ve", "(select raw_id, vuln_pos, affected_pos, json_extract(j, '$.versions') as j from a where json_type(j) = 'OBJECT')", "raw_id, vuln_pos, affected_pos", "j", "version_pos")}
+      select raw_id, vuln_pos, affected_pos, version_pos, json_extract_string(j, '$') as version from ve where json_type(j) not in ('OBJECT', 'ARRAY', 'NULL') and json_extract_string(j, '$') <> ''""",
     "p2_ranges": _P2
     + """select raw_id, vuln_pos, affected_pos, range_pos, nullif(json_extract_string(j, '$.type'), '') as type, nullif(json_extract_string(j, '$.repo'), '') as repo from g where json_type(j) = 'OBJECT'
       union all select raw_id, vuln_pos, 0, 0, null, null from v where json_type(j) = 'OBJECT' and json_extract(j, '$.ev') is not null and json_extract(j, '$.affected') is null""",

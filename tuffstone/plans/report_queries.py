@@ -10,7 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuffstone.functions.versions import version_key_sql
 from tuffstone.operators import reports
+from tuffstone.plans.advisory_queries import _B
 from tuffstone.runtime import put_file, table
 from tuffstone.sources import files as sources
 from tuffstone.streaming import scan
@@ -99,7 +101,15 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("user_id", "event_type")
 
 
-QUERIES = {f.__name__: f for f in (cyclonedx, spdx, sbom_lines, scan_summary, json_report, json_escape, text_listing, tree_scan, symlink_facts, checksum_verify, index_file, event_windows, stream_dedup)}
+def stream_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Advisory ranges that hold a component, over the whole component table as a stream."""
+    static = table(spark, sf, "components")
+    stream = spark.readStream.schema(static.schema).parquet(f"{sf}/components.parquet" if os.path.isdir(f"{sf}/components.parquet") else f"{sf}/components*.parquet")
+    got = scan.run_to_end(scan.match_stream(stream, table(spark, sf, "nvd_entries")), spark, f"m{uuid.uuid4().hex}")
+    return got.groupBy("comp_id", "cve_id").agg(F.count("*").alias("n_ranges"))
+
+
+QUERIES = {f.__name__: f for f in (cyclonedx, spdx, sbom_lines, scan_summary, json_report, json_escape, text_listing, tree_scan, symlink_facts, checksum_verify, index_file, event_windows, stream_dedup, stream_matches)}
 
 _N = "(select image_id, count(*) as c from components where image_id is not null group by 1)"
 ORACLE = {
@@ -117,5 +127,9 @@ ORACLE = {
     "checksum_verify": "select * from (values ('a.conf', true), ('b', false), ('gone', false)) t(name, ok)",
     "index_file": "select * from (values ('Debian', 'busybox', 'CVE-1', 's', '12', 'text', 'i0;f1.2'), ('Alpine', 'zlib', 'CVE-2', '', '', '', ''), ('Debian', 'busybox', 'CVE-3', '', '', 'é', 'l9')) t(eco, pkg, id, sev, rel, sum, ev)",
     "event_windows": "select cast(date_trunc('hour', ts) as timestamp) as start, event_type, count(*) as n from events group by all",
+    "stream_matches": f"""with nb as (select distinct vendor, product, id, cvss, {_B} from nvd_entries),
+      nc as (select comp_id, split_part(cpe, ':', 4) as vendor, split_part(cpe, ':', 5) as product, {version_key_sql("version")} as k from components where len(string_split(cpe, ':')) >= 6 and coalesce(version, '') <> '')
+      select comp_id, id as cve_id, count(*) as n_ranges from nc c join nb b on c.vendor = b.vendor and c.product = b.product
+      where case when b.ver is not null then c.k = b.ver_k else (b.si is null or c.k >= b.si_k) and (b.se is null or c.k > b.se_k) and (b.ei is null or c.k <= b.ei_k) and (b.ee is null or c.k < b.ee_k) end group by all""",
     "stream_dedup": "select distinct user_id, event_type from events",
 }

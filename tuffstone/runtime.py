@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def largest_keys(rows: DataFrame, keys: list[str], n: int = 1000) -> DataFrame:
+    """The ``n`` keys with the most rows, a bounded table for ``broadcast``: any other key holds under an n-th of all.
+
+    Joins salt these keys alone. Counts combine before they are shuffled.
+    """
+    return rows.groupBy(*keys).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), *keys).limit(n).select(*keys, F.lit(True).alias("__hot"))
+
+
+def salted(rows: DataFrame, hot: DataFrame, keys: list[str], salts: int, by: list[str] | None) -> DataFrame:
+    """``rows`` with a column ``salt``: rows of ``hot`` keys fall into ``salts`` parts by a hash of ``by``, or go to all of
+    them if ``by`` is None; other rows have salt 0."""
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    is_hot = F.coalesce("__hot", F.lit(False))
+    if by is None:
+        parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        return marked.withColumn("salt", F.explode(parts)).drop("__hot")
+    return marked.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+
+
 def put_file(spark: SparkSession, name: str, content: bytes, folder: str | None = None) -> str:
     """Write a small file into the shared folder, whatever its file system; returns its path.
 

@@ -6,10 +6,13 @@ is bounded by time; joins with advisories are stream-static; counts are windowed
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuffstone.functions.versions import version_key
 from tuffstone.operators import advisories, secrets
+from tuffstone.runtime import ensure_checkpoint_dir
 
 
 def file_stream(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -35,14 +38,32 @@ def counts_by_window(events: DataFrame, time: str, key: str, width: str = "1 hou
 
 
 def match_stream(components: DataFrame, entries: DataFrame) -> DataFrame:
-    """Advisory ranges that hold a streamed component, one row for each component row and advisory."""
+    """(comp_id, cve_id) for each range of the static ``entries`` that holds the version of a streamed component.
+
+    Components without version or platform name match nothing; an advisory with several ranges that hold the
+    version comes once for each.
+    """
     known = components.withColumn("vendor", advisories.cpe_part(F.col("cpe"), 3)).withColumn("product", advisories.cpe_part(F.col("cpe"), 4))
-    static = entries.select("vendor", "product", "id").distinct()
-    return known.where("vendor is not null").join(static, ["vendor", "product"]).select("comp_id", F.col("id").alias("cve_id"))
+    known = known.where("vendor is not null and product is not null and coalesce(version, '') <> ''").withColumn("vkey", version_key(F.col("version")))
+    hits = known.select("comp_id", "vendor", "product", "vkey").join(advisories.nvd_bounds(entries), ["vendor", "product"]).where(advisories.in_bounds(F.col("vkey")))
+    return hits.select("comp_id", F.col("id").alias("cve_id"))
 
 
 def run_to_end(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """All rows a finite stream gives, as a table; for tests and backfills."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All rows a finite stream gives, as a table ``name`` in the shared folder; for backfills.
+
+    Every batch writes a part of its own (in complete mode the one part there is), so a batch that is run again
+    replaces what it wrote before. Nothing comes to the driver.
+    """
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/part={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    try:
+        return spark.read.parquet(path).select(*stream.columns)
+    except AnalysisException:  # no batch at all
+        return spark.createDataFrame([], stream.schema)
