@@ -132,3 +132,31 @@ def test_a_very_long_body(spark):
     body = json.dumps({"affected": [{"ranges": [{"events": [{"introduced": str(i)} for i in range(50_000)]}]}]})
     df = spark.createDataFrame([(1, body)], "raw_id bigint, body string")
     assert nested.flatten_advisories(df, "events").agg(F.max("event_pos")).first()[0] == 49_999
+
+
+def test_ranges_of_bodies_against_the_events(spark, sf):
+    raw = spark.read.parquet(f"{sf}/osv_raw.parquet")
+    got = nested.advisory_ranges(raw).select("raw_id", "vuln_pos", "affected_pos", "range_pos", F.explode("events").alias("e")).select("raw_id", "vuln_pos", "affected_pos", "range_pos", "e.type", "e.value")
+    named = nested.flatten_advisories(raw, "affected").where("eco is not null and pkg is not null")
+    key = ["raw_id", "vuln_pos", "affected_pos"]
+    want = nested.flatten_advisories(raw, "events").join(named, key, "left_semi").select(*key, "range_pos", F.col("ev_type").alias("type"), F.col("ev_value").alias("value"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    odd = spark.createDataFrame(list(enumerate(BODIES)), "raw_id bigint, body string")
+    assert nested.advisory_ranges(odd).count() == 0 and nested.advisory_ranges(odd.limit(0)).count() == 0
+
+
+def test_salting_changes_no_match(spark):
+    from tuffstone.operators import advisories
+
+    c = spark.createDataFrame([("Debian", "hot" if i % 3 else f"p{i}", f"1.{i}", "", "x") for i in range(60)], "eco string, name string, version string, release string, purl string")
+    index = spark.createDataFrame([("Debian", "hot" if i % 3 else f"p{i}", f"CVE-1-{i}", "", None, "", [("i", f"1.{i}")]) for i in range(60)], "eco string, pkg string, id string, rel string, sev string, summary string, events array<struct<type:string,value:string>>")
+    few, many = (sorted(map(str, advisories.osv_join(c, index, salts=n).collect())) for n in (1, 7))
+    assert few == many and len(few) > 500
+
+
+def test_streamed_components_are_matched_by_range(spark):
+    from tuffstone.streaming.scan import match_stream
+
+    c = spark.createDataFrame([(1, "cpe:2.3:a:v:p:1.5:*", "1.5"), (2, "cpe:2.3:a:v:p:2.5:*", "2.5"), (3, None, "1.5"), (4, "cpe:2.3:a:v:p:1:*", None)], "comp_id bigint, cpe string, version string")
+    e = spark.createDataFrame([("v", "p", "CVE-1", None, None, None, None, None, "2.0"), ("v", "p", "CVE-2", None, "\t2.5", None, None, None, None)], "vendor string, product string, id string, cvss string, ver string, si string, se string, ei string, ee string")
+    assert {tuple(r) for r in match_stream(c, e).collect()} == {(1, "CVE-1"), (2, "CVE-2")}

@@ -276,19 +276,24 @@ def rpm_components(files: DataFrame) -> DataFrame:
     return _rows(got, path=F.col("path"), name=F.col("name"), version=F.col("version"), arch=F.col("arch"), purl=purl("rpm", F.col("name"), F.col("version"), F.col("arch")), source=F.lit("rpm"), confidence=F.lit(90), evidence=F.lit("rpm header"))
 
 
-def os_release(files: DataFrame) -> DataFrame:
-    """(root, distro_id, version_id) of each root with an os-release file of up to 64 KiB.
+def os_release(files: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
+    """(root, distro_id, version_id) of each root with an os-release file.
 
     The last assignment counts; the file under etc goes before the one under usr/lib. A file that states no
-    valid id makes the distribution of its root '' (unknown), which hides the other one.
+    valid id makes the distribution of its root '' (unknown), which hides the other one; so do the links that make
+    a root one of ``unknown(root)``.
     """
     pattern = r"^(?:(.*)/)?(etc|usr/lib)/os-release$"
-    named = files.where(F.col("path").rlike(pattern) & (F.octet_length("content") < 1 << 16))
+    named = files.where(F.col("path").rlike(pattern))
     last = lambda k: F.trim(F.regexp_replace(F.coalesce(F.try_element_at(F.regexp_extract_all("content", F.lit(rf"(?m)^{k}=([^\r\n]*)"), 1), F.lit(-1)), F.lit("")), "[\"']", ""))
     got = named.select(F.regexp_extract("path", pattern, 1).alias("root"), (F.regexp_extract("path", pattern, 2) != "etc").alias("later"), last("ID").alias("id"), last("VERSION_ID").alias("version_id"))
     first = got.groupBy("root").agg(F.min_by(F.struct("id", "version_id"), F.struct("later", "id", "version_id")).alias("o"))
     valid = F.col("o.id").rlike("^[a-z0-9._-]+$")
-    return first.select("root", F.when(valid, F.col("o.id")).otherwise("").alias("distro_id"), F.when(valid, F.col("o.version_id")).otherwise("").alias("version_id"))
+    got = first.select("root", F.when(valid, F.col("o.id")).otherwise("").alias("distro_id"), F.when(valid, F.col("o.version_id")).otherwise("").alias("version_id"))
+    if unknown is None:
+        return got
+    none = unknown.select("root", F.lit("").alias("distro_id"), F.lit("").alias("version_id"))
+    return got.join(unknown, "root", "left_anti").unionByName(none)
 
 
 def is_monolithic(files: DataFrame) -> DataFrame:

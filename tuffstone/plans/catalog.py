@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from tuffstone.functions.text import with_blanks_stripped
-from tuffstone.plans import advisory_queries, boot_queries, content_queries, data_queries, ingest_queries, kernel_queries, key_queries, package_queries, report_queries
+from tuffstone.plans import advisory_queries, boot_queries, content_queries, data_queries, ingest_queries, kernel_queries, key_queries, package_queries, report_queries, scan_queries
 
-MODULES = [data_queries, advisory_queries, ingest_queries, content_queries, package_queries, kernel_queries, key_queries, boot_queries, report_queries]
+MODULES = [data_queries, advisory_queries, ingest_queries, content_queries, package_queries, kernel_queries, key_queries, boot_queries, report_queries, scan_queries]
 
 
 def queries() -> dict:
