@@ -131,7 +131,8 @@ def containers(documents: DataFrame, capacity: int = 2048, shard_items: int = 20
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECE.split(", ")])
 
-    return items.groupBy("shard").applyInArrow(run, PIECE)
+    # Lengths are few bytes but packing them is work, so shards aren't put together into few tasks.
+    return items.repartition(shards, "shard").groupBy("shard").applyInArrow(run, PIECE)
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
