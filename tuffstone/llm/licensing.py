@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tuffstone.llm.license_texts import EXCEPTIONS, IDS, TEXTS, TITLES, gnu_headers
-from tuffstone.runtime import spread
+from tuffstone.runtime import cut, spread
 
 # Spellings of license names, as tokens, and the SPDX id each stands for.
 NAMES = {
@@ -494,7 +494,8 @@ def licenses(source_files: DataFrame, findings: DataFrame, components: DataFrame
     """
     found = findings.where("category = 'license' and confidence > 0 and type is not null").select("file_id", spdx("type").alias("lo"))
     found = found.where("lo is not null").groupBy("file_id").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"))
-    known = _file_bounds(source_files).withColumn("here", F.lit(1))
+    # Read by several branches below; without a table of its own each of them would parse all content again.
+    known = cut(_file_bounds(source_files)).withColumn("here", F.lit(1))
     both = known.unionByName(found.select("file_id", F.lit(None).cast("bigint").alias("repo_id"), F.lit(None).cast("string").alias("path"), "lo", "hi", F.lit(None).cast("int").alias("here")))
     files = (
         both.groupBy("file_id")
