@@ -342,6 +342,7 @@ def cmdline_types(args: Column) -> Column:
 
 def env_type(key: Column, value: Column) -> Column:
     """(type, severity) of a bootloader variable other than bootargs; null for none."""
+    # Words in names of variables, in the order in which they decide, and what they tell.
     low = F.lower(key)
     out = lambda t, s: F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"))
     secret = low.rlike("passw|secret|token") | (low.contains("key") & ~low.contains("keyboard"))

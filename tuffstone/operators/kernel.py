@@ -13,7 +13,7 @@ from tuffstone.functions.text import stripped
 from tuffstone.functions.versions import version_key
 
 # The checklist. Advisory, first affected and first fixed version (- for an open end), impact,
-# required options and mitigations without their prefix.
+# required options and mitigations (- for none).
 CHECKLIST = """
 CVE-2016-5195 2.6.22 4.8.3 LPE - -
 CVE-2022-0847 5.8 5.16.11 LPE - -
@@ -21,85 +21,85 @@ CVE-2021-33909 - 5.13.4 LPE - -
 CVE-2019-13272 - 5.1.17 LPE - -
 CVE-2018-14634 - 4.18.9 LPE - -
 CVE-2023-3269 6.1 6.4.1 LPE - -
-CVE-2016-0728 - 4.4.1 LPE KEYS -
+CVE-2016-0728 - 4.4.1 LPE CONFIG_KEYS -
 CVE-2014-3153 - 3.15 LPE - -
 CVE-2017-5123 - 4.13.5 LPE - -
 CVE-2021-3347 - 5.11 LPE - -
-CVE-2013-2094 - 3.8.9 LPE PERF_EVENTS -
+CVE-2013-2094 - 3.8.9 LPE CONFIG_PERF_EVENTS -
 CVE-2017-1000112 - 4.13 LPE - -
-CVE-2021-22555 2.6.19 5.12 LPE NETFILTER -
-CVE-2023-32233 - 6.4 LPE NF_TABLES -
-CVE-2022-32250 - 5.18.1 LPE NF_TABLES -
-CVE-2022-34918 - 5.18.9 LPE NF_TABLES -
-CVE-2022-2586 - 5.19 LPE NF_TABLES -
-CVE-2023-35001 - 6.4.3 LPE NF_TABLES -
-CVE-2024-1086 - 6.8 LPE NF_TABLES -
-CVE-2022-1015 5.5 5.17 LPE NF_TABLES -
-CVE-2024-1085 - 6.8 LPE NF_TABLES -
-CVE-2023-0179 - 6.2 LPE NF_TABLES -
-CVE-2021-3490 5.7 5.13 LPE BPF_SYSCALL BPF_UNPRIV_DEFAULT_OFF
-CVE-2017-16995 4.4 4.14.8 LPE BPF_SYSCALL BPF_UNPRIV_DEFAULT_OFF
-CVE-2020-8835 5.5 5.6.1 LPE BPF_SYSCALL BPF_UNPRIV_DEFAULT_OFF
-CVE-2022-2588 - 5.19 LPE NET_CLS_ROUTE4 -
-CVE-2023-1829 - 6.3 LPE NET_CLS_TCINDEX -
-CVE-2022-29581 - 5.17 LPE NET_CLS_U32 -
-CVE-2021-41073 5.11 5.14.6 LPE IO_URING -
-CVE-2022-1786 5.11 5.18 LPE IO_URING -
-CVE-2023-2598 6.3 6.4 LPE IO_URING -
-CVE-2022-2602 - 6.0 LPE IO_URING,UNIX -
-CVE-2016-8655 - 4.9 LPE PACKET -
-CVE-2017-7308 - 4.10.6 LPE PACKET -
-CVE-2020-14386 - 5.9 LPE PACKET -
-CVE-2021-22600 - 5.16 LPE PACKET -
-CVE-2022-0185 - 5.16.2 LPE USER_NS -
-CVE-2021-4154 - 5.16 LPE CGROUPS -
-CVE-2023-0386 - 6.2 LPE OVERLAY_FS,FUSE_FS -
-CVE-2015-1328 - 4.1 LPE OVERLAY_FS -
-CVE-2019-2215 - 5.0 LPE ANDROID_BINDER_IPC -
-CVE-2017-6074 - 4.9.11 LPE IP_DCCP -
+CVE-2021-22555 2.6.19 5.12 LPE CONFIG_NETFILTER -
+CVE-2023-32233 - 6.4 LPE CONFIG_NF_TABLES -
+CVE-2022-32250 - 5.18.1 LPE CONFIG_NF_TABLES -
+CVE-2022-34918 - 5.18.9 LPE CONFIG_NF_TABLES -
+CVE-2022-2586 - 5.19 LPE CONFIG_NF_TABLES -
+CVE-2023-35001 - 6.4.3 LPE CONFIG_NF_TABLES -
+CVE-2024-1086 - 6.8 LPE CONFIG_NF_TABLES -
+CVE-2022-1015 5.5 5.17 LPE CONFIG_NF_TABLES -
+CVE-2024-1085 - 6.8 LPE CONFIG_NF_TABLES -
+CVE-2023-0179 - 6.2 LPE CONFIG_NF_TABLES -
+CVE-2021-3490 5.7 5.13 LPE CONFIG_BPF_SYSCALL CONFIG_BPF_UNPRIV_DEFAULT_OFF
+CVE-2017-16995 4.4 4.14.8 LPE CONFIG_BPF_SYSCALL CONFIG_BPF_UNPRIV_DEFAULT_OFF
+CVE-2020-8835 5.5 5.6.1 LPE CONFIG_BPF_SYSCALL CONFIG_BPF_UNPRIV_DEFAULT_OFF
+CVE-2022-2588 - 5.19 LPE CONFIG_NET_CLS_ROUTE4 -
+CVE-2023-1829 - 6.3 LPE CONFIG_NET_CLS_TCINDEX -
+CVE-2022-29581 - 5.17 LPE CONFIG_NET_CLS_U32 -
+CVE-2021-41073 5.11 5.14.6 LPE CONFIG_IO_URING -
+CVE-2022-1786 5.11 5.18 LPE CONFIG_IO_URING -
+CVE-2023-2598 6.3 6.4 LPE CONFIG_IO_URING -
+CVE-2022-2602 - 6.0 LPE CONFIG_IO_URING,CONFIG_UNIX -
+CVE-2016-8655 - 4.9 LPE CONFIG_PACKET -
+CVE-2017-7308 - 4.10.6 LPE CONFIG_PACKET -
+CVE-2020-14386 - 5.9 LPE CONFIG_PACKET -
+CVE-2021-22600 - 5.16 LPE CONFIG_PACKET -
+CVE-2022-0185 - 5.16.2 LPE CONFIG_USER_NS -
+CVE-2021-4154 - 5.16 LPE CONFIG_CGROUPS -
+CVE-2023-0386 - 6.2 LPE CONFIG_OVERLAY_FS,CONFIG_FUSE_FS -
+CVE-2015-1328 - 4.1 LPE CONFIG_OVERLAY_FS -
+CVE-2019-2215 - 5.0 LPE CONFIG_ANDROID_BINDER_IPC -
+CVE-2017-6074 - 4.9.11 LPE CONFIG_IP_DCCP -
 CVE-2015-3636 - 4.1 LPE - -
-CVE-2021-26708 - 5.10.13 LPE VSOCKETS -
-CVE-2017-11176 - 4.11.9 LPE POSIX_MQUEUE -
-CVE-2022-27666 - 5.17 LPE INET_ESP -
-CVE-2022-2639 - 6.0 LPE OPENVSWITCH -
-CVE-2021-43267 5.10 5.15.1 RCE TIPC -
-CVE-2022-0435 - 5.17 RCE TIPC -
+CVE-2021-26708 - 5.10.13 LPE CONFIG_VSOCKETS -
+CVE-2017-11176 - 4.11.9 LPE CONFIG_POSIX_MQUEUE -
+CVE-2022-27666 - 5.17 LPE CONFIG_INET_ESP -
+CVE-2022-2639 - 6.0 LPE CONFIG_OPENVSWITCH -
+CVE-2021-43267 5.10 5.15.1 RCE CONFIG_TIPC -
+CVE-2022-0435 - 5.17 RCE CONFIG_TIPC -
 CVE-2019-11477 - 4.19.42 DoS - -
-CVE-2022-42719 5.1 6.1 RCE MAC80211 -
-CVE-2022-42720 5.1 6.1 RCE MAC80211 -
-CVE-2020-12351 4.8 5.10 RCE BT -
-CVE-2021-27365 - 5.11.4 LPE SCSI_ISCSI_ATTRS -
-CVE-2022-25636 - 5.16.11 LPE NETFILTER -
+CVE-2022-42719 5.1 6.1 RCE CONFIG_MAC80211 -
+CVE-2022-42720 5.1 6.1 RCE CONFIG_MAC80211 -
+CVE-2020-12351 4.8 5.10 RCE CONFIG_BT -
+CVE-2021-27365 - 5.11.4 LPE CONFIG_SCSI_ISCSI_ATTRS -
+CVE-2022-25636 - 5.16.11 LPE CONFIG_NETFILTER -
 """
 # What shows that an option is on: symbols, modules, strings; whether it can only be built in.
 KNOWLEDGE = """
-NETFILTER nf_hook_slow,nf_register_net_hook,nf_register_hook x_tables,nf_conntrack - any
-NF_TABLES nft_do_chain,nft_register_obj,nf_tables_api_init nf_tables - any
-BPF_SYSCALL bpf_prog_load,bpf_check,__sys_bpf - - builtin
-BPF_UNPRIV_DEFAULT_OFF - - - any
-NET_CLS_ROUTE4 route4_classify cls_route - any
-NET_CLS_TCINDEX tcindex_classify cls_tcindex - any
-NET_CLS_U32 u32_classify cls_u32 - any
-IO_URING io_submit_sqes,io_uring_create,__do_sys_io_uring_setup - io_uring builtin
-UNIX unix_create,unix_stream_connect,unix_dgram_recvmsg unix - any
-PACKET packet_rcv,tpacket_rcv,packet_create af_packet - any
-USER_NS create_user_ns,free_user_ns - - builtin
-CGROUPS cgroup_attach_task,cgroup_mkdir,cgroup_procs_write - - builtin
-OVERLAY_FS ovl_fill_super,ovl_lookup overlay overlayfs any
-FUSE_FS fuse_fill_super,fuse_dev_read,fuse_request_alloc fuse - any
-ANDROID_BINDER_IPC binder_ioctl,binder_thread_read binder,binder_linux - any
-IP_DCCP dccp_v4_init_sock,dccp_rcv_state_process dccp,dccp_ipv4,dccp_ipv6 - any
-VSOCKETS __vsock_create,vsock_bind vsock - any
-POSIX_MQUEUE mqueue_get_inode,mqueue_evict_inode - - builtin
-INET_ESP esp_init_state,esp6_init_state,esp_output esp4,esp6 - any
-OPENVSWITCH ovs_dp_process_packet,ovs_vport_receive openvswitch - any
-TIPC tipc_sk_create,tipc_rcv tipc - any
-MAC80211 ieee80211_register_hw,ieee80211_rx_list mac80211 - any
-BT hci_register_dev,l2cap_recv_frame bluetooth - any
-QAT adf_dev_init,qat_algs_register intel_qat,qat_c62x,qat_4xxx,qat_dh895xcc - any
-SCSI_ISCSI_ATTRS iscsi_create_session,iscsi_add_session scsi_transport_iscsi - any
-KEYS key_alloc,keyring_alloc - - builtin
-PERF_EVENTS perf_event_alloc,perf_event_create_kernel_counter - - builtin
+CONFIG_NETFILTER nf_hook_slow,nf_register_net_hook,nf_register_hook x_tables,nf_conntrack - any
+CONFIG_NF_TABLES nft_do_chain,nft_register_obj,nf_tables_api_init nf_tables - any
+CONFIG_BPF_SYSCALL bpf_prog_load,bpf_check,__sys_bpf - - builtin
+CONFIG_BPF_UNPRIV_DEFAULT_OFF - - - any
+CONFIG_NET_CLS_ROUTE4 route4_classify cls_route - any
+CONFIG_NET_CLS_TCINDEX tcindex_classify cls_tcindex - any
+CONFIG_NET_CLS_U32 u32_classify cls_u32 - any
+CONFIG_IO_URING io_submit_sqes,io_uring_create,__do_sys_io_uring_setup - io_uring builtin
+CONFIG_UNIX unix_create,unix_stream_connect,unix_dgram_recvmsg unix - any
+CONFIG_PACKET packet_rcv,tpacket_rcv,packet_create af_packet - any
+CONFIG_USER_NS create_user_ns,free_user_ns - - builtin
+CONFIG_CGROUPS cgroup_attach_task,cgroup_mkdir,cgroup_procs_write - - builtin
+CONFIG_OVERLAY_FS ovl_fill_super,ovl_lookup overlay overlayfs any
+CONFIG_FUSE_FS fuse_fill_super,fuse_dev_read,fuse_request_alloc fuse - any
+CONFIG_ANDROID_BINDER_IPC binder_ioctl,binder_thread_read binder,binder_linux - any
+CONFIG_IP_DCCP dccp_v4_init_sock,dccp_rcv_state_process dccp,dccp_ipv4,dccp_ipv6 - any
+CONFIG_VSOCKETS __vsock_create,vsock_bind vsock - any
+CONFIG_POSIX_MQUEUE mqueue_get_inode,mqueue_evict_inode - - builtin
+CONFIG_INET_ESP esp_init_state,esp6_init_state,esp_output esp4,esp6 - any
+CONFIG_OPENVSWITCH ovs_dp_process_packet,ovs_vport_receive openvswitch - any
+CONFIG_TIPC tipc_sk_create,tipc_rcv tipc - any
+CONFIG_MAC80211 ieee80211_register_hw,ieee80211_rx_list mac80211 - any
+CONFIG_BT hci_register_dev,l2cap_recv_frame bluetooth - any
+CONFIG_QAT adf_dev_init,qat_algs_register intel_qat,qat_c62x,qat_4xxx,qat_dh895xcc - any
+CONFIG_SCSI_ISCSI_ATTRS iscsi_create_session,iscsi_add_session scsi_transport_iscsi - any
+CONFIG_KEYS key_alloc,keyring_alloc - - builtin
+CONFIG_PERF_EVENTS perf_event_alloc,perf_event_create_kernel_counter - - builtin
 """
 # Hardening features and the options that stand for them.
 HARDENING = (
@@ -122,7 +122,7 @@ def _table(text: str) -> list[list[str]]:
 
 
 def _options(names: str) -> list[str]:
-    return [f"CONFIG_{n}" for n in names.split(",") if n]
+    return [n for n in names.split(",") if n]
 
 
 def checklist_table(spark: SparkSession) -> DataFrame:
@@ -136,12 +136,12 @@ def knowledge_table(spark: SparkSession) -> DataFrame:
     rows = []
     for name, symbols, modules, strings, built in _table(KNOWLEDGE):
         for kind, tokens in (("symbol", symbols), ("module", modules), ("text", strings)):
-            rows += [(f"CONFIG_{name}", kind, t.replace("-", "_") if kind == "module" else t, built == "builtin") for t in tokens.split(",") if t]
+            rows += [(name, kind, t.replace("-", "_") if kind == "module" else t, built == "builtin") for t in tokens.split(",") if t]
     return spark.createDataFrame(rows, "option string, kind string, token string, builtin_only boolean")
 
 
-BUILTIN_ONLY = tuple(f"CONFIG_{r[0]}" for r in _table(KNOWLEDGE) if r[4] == "builtin")
-GATING_OPTIONS = tuple(f"CONFIG_{r[0]}" for r in _table(KNOWLEDGE) if r[1] or r[2] or r[3])
+BUILTIN_ONLY = tuple(r[0] for r in _table(KNOWLEDGE) if r[4] == "builtin")
+GATING_OPTIONS = tuple(r[0] for r in _table(KNOWLEDGE) if r[1] or r[2] or r[3])
 
 
 # -- configuration text ----------------------------------------------------------------------------------------
@@ -243,7 +243,7 @@ def facts_from_symbols(symbols: DataFrame, spark: SparkSession) -> DataFrame:
     """Facts of kernel symbols ``(image_id, symbol, complete)``: found ones are on; if the table is complete, options without any are not built in."""
     on = _known(symbols.select("image_id", F.col("symbol").alias("token")), "symbol", "kallsyms", spark)
     whole = symbols.where("complete").select("image_id").distinct()
-    options = [F.lit(o) for o in sorted({f"CONFIG_{r[0]}" for r in _table(KNOWLEDGE) if r[1]})]
+    options = [F.lit(o) for o in sorted({r[0] for r in _table(KNOWLEDGE) if r[1]})]
     every = whole.select("image_id", F.explode(F.array(*options)).alias("option"))
     missing = every.join(on, ["image_id", "option"], "left_anti").select("image_id", "option", F.lit("not_builtin").alias("fact"), F.lit("kallsyms").alias("source"))
     return on.unionByName(missing)
@@ -252,7 +252,7 @@ def facts_from_symbols(symbols: DataFrame, spark: SparkSession) -> DataFrame:
 def facts_from_strings(texts: DataFrame, spark: SparkSession) -> DataFrame:
     """Facts of kernel texts ``(image_id, content)``: a telling string puts its option on, with least trust."""
     rows = [(r[0], s) for r in _table(KNOWLEDGE) for s in r[3].split(",") if s]
-    hits = [F.when(F.col("content").contains(s), F.lit(f"CONFIG_{o}")) for o, s in rows]
+    hits = [F.when(F.col("content").contains(s), F.lit(o)) for o, s in rows]
     got = texts.select("image_id", F.explode(F.array_compact(F.array(*hits))).alias("option"))
     return got.distinct().select("image_id", "option", F.lit("on").alias("fact"), F.lit("string").alias("source"))
 

@@ -416,6 +416,7 @@ def leaked_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
     prints = F.array(*[F.struct(F.lit(i).alias("order"), F.col(c).alias("fingerprint")) for i, c in enumerate(("fp_ssh", "fp_modn", "fp_der"))])
     each = keys.select("path", "offset", F.explode(prints).alias("f")).select("path", "offset", "f.*").where("fingerprint is not null")
     hits = each.join(known, "fingerprint").groupBy("path", "offset").agg(F.min_by(F.struct("name", "key_use", "ref"), F.struct("order", "name")).alias("k"))
+    # What a leaked key allows, by its use.
     impact = (
         F.when(F.col("k.key_use") == "host", "an attacker can impersonate/MITM this host (host key)")
         .when(F.col("k.key_use") == "authorized", "an attacker can log in with the public-domain private key")

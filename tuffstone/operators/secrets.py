@@ -138,6 +138,7 @@ class Scanner:
                 m = regex.match(data, a.start(), a.start() + 256 if rule.user else len(data)) if regex else a
                 if not m:
                     continue
+                # The wording of evidence and notes in findings.
                 token, tier, evidence, label, note = m[0], 60, "offline pattern match", "", rule.description
                 if rule.type == "github-token" and not rule.user:
                     good = checksum6(token[4:34]) == token[34:].decode()
